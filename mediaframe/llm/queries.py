@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from .decontam import op5_decontamination
+from .langid import op9_langid
 from .packing import op10_bm25_packing
 from .pfor import op3_pfor_ids
 from .sharding import op4_minimax_shards
+from .simhash import op7_simhash
+from .tiff import op2_tiff_pages
 
 
 def queries() -> dict:
     return {
+        "op2_tiff_pages": op2_tiff_pages,
         "op3_pfor_ids": op3_pfor_ids,
         "op4_minimax_shards": op4_minimax_shards,
+        "op5_decontamination": op5_decontamination,
+        "op7_simhash": op7_simhash,
+        "op9_langid": op9_langid,
         "op10_bm25_packing": op10_bm25_packing,
     }
 
