@@ -6,9 +6,11 @@ from .decontam import op5_decontamination
 from .langid import op9_langid
 from .packing import op10_bm25_packing
 from .pfor import op3_pfor_ids
+from .secrets import op8_secret_forest
 from .sharding import op4_minimax_shards
 from .simhash import op7_simhash
 from .tiff import op2_tiff_pages
+from .urlfilter import OP6_SQL, op6_url_rules
 
 
 def queries() -> dict:
@@ -17,11 +19,13 @@ def queries() -> dict:
         "op3_pfor_ids": op3_pfor_ids,
         "op4_minimax_shards": op4_minimax_shards,
         "op5_decontamination": op5_decontamination,
+        "op6_url_rules": op6_url_rules,
         "op7_simhash": op7_simhash,
+        "op8_secret_forest": op8_secret_forest,
         "op9_langid": op9_langid,
         "op10_bm25_packing": op10_bm25_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_rules": OP6_SQL}
