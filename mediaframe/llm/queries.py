@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op5_decontamination
 from .langid import op9_langid
+from .ngram_lm import op1_ngram_trie
 from .packing import op10_bm25_packing
 from .pfor import op3_pfor_ids
 from .secrets import op8_secret_forest
@@ -15,6 +16,7 @@ from .urlfilter import OP6_SQL, op6_url_rules
 
 def queries() -> dict:
     return {
+        "op1_ngram_trie": op1_ngram_trie,
         "op2_tiff_pages": op2_tiff_pages,
         "op3_pfor_ids": op3_pfor_ids,
         "op4_minimax_shards": op4_minimax_shards,
