@@ -5,7 +5,7 @@ smallest id of each component stays), benchmark decontamination (hit spans are c
 secret scans (secrets are replaced by a mark) and retrieval packing. All but the last return the
 columns of ``documents``.
 
-Edge cases: whatever the operators define; rows with the id of a document that stays are kept once.
+Edge cases: whatever the operators define.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component stays; its repeated rows are one row. Null ids stay only in components without any other id."""
-    classes = simhash.near_duplicates(texts(docs))
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    """The document with the smallest id of each component stays, once if its row repeats. A null id ranks after all ids, as a document of its own text."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumns({"_key": F.coalesce("doc_id", mark.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)), "_mark": mark})
+    kept = simhash.near_duplicates(texts(keyed, "_key")).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
