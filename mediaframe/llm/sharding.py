@@ -21,15 +21,14 @@ from .common import written
 
 
 class Blocks:
-    """Ordered blocks of groups: first key, sum, number of groups (1: atomic), largest group."""
+    """Ordered blocks of groups: first key, sum, number of groups (1: atomic), largest group (then hash bits and prefix)."""
 
     def __init__(self, rows):
         rows = sorted(rows)
         self.key = [r[0] for r in rows]
-        self.last = [r[1] for r in rows]
-        self.sums = np.array([r[2] for r in rows], dtype=np.int64)
-        self.n = np.array([r[3] for r in rows], dtype=np.int64)
-        self.top = max((r[4] for r in rows), default=0)
+        self.sums = np.array([r[1] for r in rows], dtype=np.int64)
+        self.n = np.array([r[2] for r in rows], dtype=np.int64)
+        self.top = max((r[3] for r in rows), default=0)
         self.ends = np.cumsum(self.sums)
         self.starts = self.ends - self.sums
         self.total = int(self.ends[-1]) if len(rows) else 0
@@ -65,9 +64,12 @@ class Blocks:
 def minimax_cuts(groups: DataFrame, shards: int, first_bits: int = 12, more_bits: int = 4) -> tuple[int, list[int]]:
     """Smallest capacity, and the first key of every shard but the first. ``groups``: unique ``key`` (signed 64 bits) and ``size`` > 0."""
 
+    def prefix(bits: int):
+        return F.shiftright("key", 64 - bits) if bits < 64 else F.col("key")
+
     def sums(df: DataFrame, bits: int):
-        part = F.shiftright("key", 64 - bits) if bits < 64 else F.col("key")
-        return [tuple(r) for r in df.groupBy(part.alias("b")).agg(F.min("key"), F.max("key"), F.sum("size"), F.count("*"), F.max("size")).drop("b").collect()]
+        got = df.groupBy(prefix(bits).alias("b")).agg(F.min("key"), F.sum("size"), F.count("*"), F.max("size"))
+        return [(key, size, n, top, bits, b) for b, key, size, n, top in got.collect()]
 
     rows, bits = sums(groups, first_bits), first_bits
     while True:
@@ -92,16 +94,9 @@ def minimax_cuts(groups: DataFrame, shards: int, first_bits: int = 12, more_bits
         if not open_.any() or bits >= 64:
             break
         bits = min(64, bits + more_bits)
-        spans: list[list[int]] = []  # neighbouring open blocks as one range of keys
-        for i in np.flatnonzero(open_):
-            if spans and spans[-1][2] == i - 1:
-                spans[-1][1:] = [blocks.last[i], i]
-            else:
-                spans.append([blocks.key[i], blocks.last[i], i])
-        inside = F.lit(False)
-        for a, b, _ in spans:
-            inside = inside | F.col("key").between(a, b)
-        ordered = sorted(rows)
+        ordered, inside = sorted(rows), F.lit(False)
+        for b in sorted({r[4] for r in rows}):  # few levels, each a set of prefixes
+            inside = inside | prefix(b).isin([r[5] for r, o in zip(ordered, open_) if o and r[4] == b] or [None])
         rows = [r for r, o in zip(ordered, open_) if not o] + sums(groups.where(inside), bits)
     first = {int(s): k for s, k in zip(blocks.starts, blocks.key)}
     return high, [first[e] for e in (ends or [])[:-1]]
