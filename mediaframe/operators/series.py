@@ -11,6 +11,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordered(by: list[str], *order: str) -> Window:
@@ -61,7 +62,7 @@ def attach_specks(df: DataFrame, by: list[str], t: str, tie: str, strong: Column
     back = Window.partitionBy(*by).orderBy("_o", "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*by).orderBy("_o", "_side", tie).rowsBetween(0, Window.unboundedFollowing)
     line = line.withColumns({"_pc": F.last("_c", True).over(back), "_pz": F.last("_z", True).over(back), "_nc": F.first("_c", True).over(ahead), "_na": F.first("_a", True).over(ahead)}).where("_side = 1")
-    to_prev, to_next = F.greatest(F.lit(0), F.col(t) - F.col("_pz")), F.col("_na") - F.col(t)
+    to_prev, to_next = F.when(F.col("_pz").isNotNull(), F.greatest(F.lit(0), F.col(t) - F.col("_pz"))), F.col("_na") - F.col(t)
     near = F.when(to_prev.isNotNull() & (to_prev <= gap) & (to_next.isNull() | (to_prev <= to_next)), F.col("_pc")).when(to_next <= gap, F.col("_nc"))
     placed = line.withColumn("group", near)
     attached = placed.where("group is not null").withColumn("kind", F.lit("attached"))
@@ -81,7 +82,7 @@ def robust_cuts(df: DataFrame, by: list[str], t: str, tie: str, v: str, least: f
     w = ordered(by, t, tie)
     rows = df.withColumn("_n", F.row_number().over(w))
     near = F.collect_list(F.struct("_n", v)).over(within(by, t, half, half))
-    others = F.array_sort(F.transform(F.filter(near, lambda x: (x["_n"] != F.col("_n")) & (x["_n"] > 1)), lambda x: x[v]))
+    others = F.sort_array(F.transform(F.filter(near, lambda x: (x["_n"] != F.col("_n")) & (x["_n"] > 1)), lambda x: x[v]))
     rows = rows.withColumn("_l", others)
     n = F.size("_l")
     lo, hi = F.get("_l", F.floor((n - 1) / 2).cast("int")), F.get("_l", F.floor(n / 2).cast("int"))
@@ -120,7 +121,7 @@ def running_lower_quantile(df: DataFrame, by: list[str], order: list[str], v: st
 
     Two heaps per group; a group's values are held by its task.
     """
-    schema = df.schema.add(name, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
@@ -193,15 +194,20 @@ def onsets(df: DataFrame, by: list[str], t: str, tie: str, v: str, rows: int, lo
     w = ordered(by, t, tie)
     near = w.rowsBetween(-rows, rows - 1)
     out = df.withColumns({"_l": F.collect_list(v).over(near), "_top": F.max(v).over(w.rowsBetween(-local, local)), "_i": F.row_number().over(w), "_after": F.lead(v).over(w)})
-    out = out.withColumn("median", middle(F.array_sort("_l")))
-    out = out.withColumn("mad", middle(F.array_sort(F.transform("_l", lambda x: F.abs(x - F.col("median"))))))
+    sorted_ = F.sort_array("_l")
+    both = let(F.struct(sorted_.alias("l"), middle(sorted_).alias("m")), lambda s: F.struct(s["m"].alias("median"), middle(F.sort_array(F.transform(s["l"], lambda x: F.abs(x - s["m"])))).alias("mad")))
+    out = out.withColumn("_both", both).withColumns({"median": F.col("_both.median"), "mad": F.col("_both.mad")}).drop("_both")
     return out.where((F.col("_i") > 1) & F.col("_after").isNotNull() & (F.col(v) > least) & (F.col(v) >= F.col("_top")) & (F.col(v) > F.col("median") + times * 1.4826 * F.col("mad"))).drop("_l", "_top", "_i", "_after")
 
 
 def middle(values: Column) -> Column:
     """Median of a sorted array."""
-    n = F.size(values)
-    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+    return let(values, lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; the optimizer would otherwise copy its expression to each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def activity_segments(df: DataFrame, by: list[str], bin_: str, energy: str, window: int, above_db: float, floor_db: float, merge: int, least: int) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Queries over the driver's tables, by name, and their SQL."""
+"""All queries of the media operators, by name, and their SQL."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ["series_queries"]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in import_module(f"{__package__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in import_module(f"{__package__}.{m}").SQL.items()}
