@@ -135,6 +135,7 @@ def bezier(x: Column, x1: Column, y1: Column, x2: Column, y2: Column, steps: int
     return F.get(F.transform(F.array(found), lambda s: cubic(y1, y2, s)), F.lit(0))
 
 
-def cer(a: Column, ref: Column) -> Column:
-    """Edit distance over the reference's length, without punctuation and spaces."""
-    return F.levenshtein(normalise(a), normalise(ref)) / F.greatest(F.lit(1), F.length(normalise(ref)))
+def cer(a: Column, ref: Column, ascii_only: bool = False) -> Column:
+    """Edit distance over the reference's length, without punctuation and spaces (``ascii_only``: letters a-z and digits alone)."""
+    norm = (lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")) if ascii_only else normalise
+    return F.levenshtein(norm(a), norm(ref)) / F.greatest(F.lit(1), F.length(norm(ref)))
