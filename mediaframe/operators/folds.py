@@ -1,8 +1,9 @@
 """Anchored folds: greedy scans that compare with the row last kept, so that window functions alone are wrong.
 
-A fold is a Python function over a group's rows in order, run per group with Arrow batches. Groups are
-videos or tracks; rows come sorted from the shuffle, and a fold keeps only its own state (the functions here hold a
-group's rows as lists, a few numbers each). All of them are linear but the merge loops of small span lists.
+A fold is a Python function over a group's rows in order. Groups are dealt by their key and sorted in the
+shuffle; a task walks its sorted rows in Arrow batches and calls the function at each change of key, so many small groups cost
+no more than one and a task holds one group at a time (as lists; the functions keep a few numbers of state each).
+All of them are linear but the merge loops of small span lists.
 """
 
 from __future__ import annotations
@@ -11,22 +12,43 @@ import heapq
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def fold(df: DataFrame, by: list[str], order: list[str], take: list[str], run: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """``run`` gets a group's rows as tuples of ``take`` in ``order`` and returns output tuples; the ``by`` columns come first in ``schema``."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    names = [*by, *(x.strip().split()[0].strip("`") for x in schema.split(","))]
-
-    def apply(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = list(zip(*(pdf[c].tolist() for c in take)))
-        return pd.DataFrame([(*key, *r) for r in run(rows)], columns=names)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    own = T.StructType([df.schema[c] for c in by] + T._parse_datatype_string(schema).fields)
+    arrow = to_arrow_schema(own)
     cols = list(dict.fromkeys([*by, *order, *take]))
-    return df.select(*cols).groupBy(*by).applyInPandas(apply, f"{kinds}, {schema}")
+    keys, values = [cols.index(c) for c in by], [cols.index(c) for c in take]
+
+    def walk(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def close():
+            out = [(*key, *r) for r in run(held)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow) if out else None
+
+        for batch in batches:
+            lists = [c.to_pylist() for c in batch.columns]
+            done = []
+            for k, row in zip(zip(*(lists[i] for i in keys)), zip(*(lists[i] for i in values))):
+                if held and k != key:
+                    done.append(close())
+                    held = []
+                key = k
+                held.append(row)
+            for out in done:
+                if out is not None:
+                    yield out
+        if held and (out := close()) is not None:
+            yield out
+
+    return df.select(*cols).repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(walk, own)
 
 
 def dedupe_onsets(rows: list[tuple], gap: int) -> list[tuple]:
