@@ -179,13 +179,17 @@ def forest(home: np.ndarray, visitors: np.ndarray, bits: int, leaf: int = 64) ->
     return queries[pairs]
 
 
-def near_links(distinct: DataFrame, bits: int = 4, shard_points: int = 2048, sample: int = 20_000) -> DataFrame:
-    """Links (a, b) of fingerprints at ``bits`` or fewer, reduced to spanning forests per shard. ``distinct``: unique ``fp``."""
+def near_links(distinct: DataFrame, bits: int = 4, shards: int = 32, shard_points: int = 4_000_000, sample: int = 20_000) -> DataFrame:
+    """Links (a, b) of fingerprints at ``bits`` or fewer, reduced to spanning forests per shard. ``distinct``: unique ``fp``.
+
+    There are ``shards`` for parallel work, and more only where one would hold over ``shard_points`` (16 bytes
+    each): every level of the top tree sends about two thirds of the points both ways, so a deeper tree than memory needs costs visits.
+    """
     spark = distinct.sparkSession
     n = distinct.count()
     chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     points = np.sort(np.array([r[0] for r in chosen.collect()], dtype=np.int64)).view(np.uint64)
-    top = Tree(points, max(1, int(len(points) * min(1.0, shard_points / max(n, 1)))))
+    top = Tree(points, max(1, len(points) // max(shards, -(-n // shard_points))))
 
     def deal(batches):
         for batch in batches:
