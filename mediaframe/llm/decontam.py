@@ -247,3 +247,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage:
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     got = overlaps(texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark),
+items AS (SELECT *, CASE WHEN len(w) < 10 THEN len(w) ELSE 10 END AS n FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT item, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM items)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+met AS (SELECT g.doc_id, g.n, g.k, x.item FROM grams g JOIN windows x ON x.n = g.n AND x.win = g.win),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(found.n_items, 0) AS n_items, sha256(coalesce(found.names, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

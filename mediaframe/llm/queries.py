@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontam import op5_decontamination
+from .decontam import OP5_SQL, op5_decontamination
 from .langid import op9_langid
 from .ngram_lm import op1_ngram_trie
 from .packing import op10_bm25_packing
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": OP6_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_url_rules": OP6_SQL}
