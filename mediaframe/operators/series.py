@@ -11,7 +11,8 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .folds import fold
 
 
 def ordered(by: list[str], *order: str) -> Window:
@@ -121,25 +122,27 @@ def running_lower_quantile(df: DataFrame, by: list[str], order: list[str], v: st
 
     Two heaps per group; a group's values are held by its task.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        values, low, high, out, seen = pdf[v].tolist(), [], [], [], 1
-        for i in range(len(values)):
-            while seen < len(values) and seen <= i + lag:
-                x = values[seen]
+    rest = [c for c in df.columns if c not in by]
+    at = rest.index(v)
+
+    def run(rows):
+        low, high, seen = [], [], 1
+        for i, row in enumerate(rows):
+            while seen < len(rows) and seen <= i + lag:
+                x = rows[seen][at]
                 seen += 1
-                heapq.heappush(high, -heapq.heappushpop(low, -x)) if low and x <= -low[0] else heapq.heappush(high, x)
+                if low and x <= -low[0]:
+                    x = -heapq.heappushpop(low, -x)
+                heapq.heappush(high, x)
                 size = int(q * (len(low) + len(high) - 1)) + 1
                 while len(low) < size:
                     heapq.heappush(low, -heapq.heappop(high))
                 while len(low) > size:
                     heapq.heappush(high, -heapq.heappop(low))
-            out.append(-low[0] if low else None)
-        return pdf.assign(**{name: out}).astype({name: "float64"})
+            yield (*row, -low[0] if low else None)
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return fold(df, by, order, rest, run, f"{schema}, `{name}` double").select(*df.columns, name)
 
 
 def still_rows(df: DataFrame, by: list[str], order: list[str], change: str, level: str, quiet: float, base: float, times: float, lag: int) -> DataFrame:

@@ -115,7 +115,7 @@ def curve_distance(spark, d):
 @query()
 def easing_fit(spark, d):
     """A movement of every user: progress drawn from a curve, timed by the user's first events, fitted by group."""
-    rows = events(spark, d).groupBy("user_id").agg(F.min("k").alias("k"))
+    rows = events(spark, d).groupBy("user_id").agg(F.min("k").alias("k")).repartition(64, "user_id")  # few rows, much work each
     names = list(K.NAMED)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
