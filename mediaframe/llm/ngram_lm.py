@@ -164,22 +164,42 @@ class Trie:
         ids, p, back = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
         m = U64(self.words)
         for k, s in self._spread(level, 1, keys):
-            some = keys[s]
-            parents, _, child, pointers, probability, weight = self.segment(level, k)
-            row = parents.find(some // m)
-            has = row >= 0
+            parents, _, child, _, probability, weight = self.segment(level, k)
+            parent = keys[s] // m
+            row = parents.find(parent)
+            has = np.flatnonzero(row >= 0)
             row = row[has]
-            at = child.successor(row.astype(U64) * m + some[has] % m)
-            inside = (at >= pointers[row].astype(np.int64)) & (at < pointers[row + 1].astype(np.int64))
-            inside[inside] = child[at[inside]] == (row.astype(U64) * m + some[has] % m)[inside]
-            got = np.full(len(row), -1, np.int64)
-            got[inside] = at[inside] + self.levels[level][k][2]
-            q = np.zeros(len(row))
-            q[inside] = probability[at[inside]]
-            where = np.flatnonzero(has) + s.start
-            ids[where], p[where], back[where] = got, q, weight[row]
+            # The children of a parent stand together, so the successor of (row, word) lies among them or the word is absent.
+            at = child.find(row.astype(U64) * m + (keys[s][has] - parent[has] * m))
+            got = np.flatnonzero(at >= 0)
+            back[has + s.start] = weight[row]
+            where = has[got] + s.start
+            ids[where], p[where] = at[got] + self.levels[level][k][2], probability[at[got]]
         return ids, p, back
 
+    def weights(self, level: int, parents: np.ndarray) -> np.ndarray:
+        """Back-off weights of ascending parent ids, 0 for those without children."""
+        out = np.zeros(len(parents))
+        keys = parents.astype(U64) * U64(self.words)
+        for k, s in self._spread(level, 1, keys):
+            row = self.segment(level, k)[0].find(parents[s].astype(U64))
+            has = np.flatnonzero(row >= 0)
+            out[has + s.start] = self.segment(level, k)[5][row[has]]
+        return out
+
+    def continuations(self, level: int, parent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids and log10 probabilities of all children of an entry, by its pointers; of each segment that holds some."""
+        words, p = [], []
+        for k in range(len(self.levels[level])):
+            parents, _, child, pointers, probability, _ = self.segment(level, k)
+            row = parents.find(np.array([parent], U64))
+            if row[0] >= 0:
+                a, b = pointers[np.array([row[0], row[0] + 1])].astype(np.int64)
+                at = np.arange(a, b)
+                words.append((child[at] - U64(int(row[0]) * self.words)).astype(np.int64))
+                p.append(probability[at])
+        return (np.concatenate(words), np.concatenate(p)) if words else (np.zeros(0, np.int64), np.zeros(0))
+
     def last_words(self, level: int, ids: np.ndarray) -> np.ndarray:
         """Last word of ascending entry ids of a level above the first."""
         out = np.zeros(len(ids), dtype=np.int64)
@@ -199,16 +219,17 @@ class Walk:
     """The tokens of some texts against a trie, level by level. ``chain``: entry ids of the n-gram that ends at each token, -1 if absent or broken by a text's start."""
 
     def __init__(self, trie: Trie, hashes: np.ndarray, lengths: np.ndarray, scored: bool):
-        self.word = through(trie.ids, hashes)
+        some, back = np.unique(hashes, return_inverse=True)
+        ids = trie.ids(some)
+        self.word = ids[back]
         self.trie, first = trie, np.zeros(len(hashes), dtype=bool)
         first[np.cumsum(lengths) - lengths] = True
         self.start = first
         self.chain, self.fresh = self.word.copy(), first.copy()  # fresh: fewer tokens before than the level needs
         if scored:
-            counts = np.zeros(len(hashes))
-            known = self.word >= 0
-            counts[known] = through(lambda i: trie.counts(0, i), self.word[known])
-            self.base = trie.unigram(counts)
+            counts = np.zeros(len(some))
+            counts[ids >= 0] = trie.counts(0, ids[ids >= 0])
+            self.base = trie.unigram(counts)[back]
             self.p = self.base.copy()
 
     def candidates(self) -> tuple[np.ndarray, np.ndarray]:
@@ -230,8 +251,7 @@ class Walk:
         if hasattr(self, "p"):  # an unknown word after a context that has children
             lost = np.flatnonzero((unknown >= 0) & (self.word < 0) & ~self.fresh)
             if len(lost):
-                _, _, back = through(lambda k: self.trie.children(level, k), packed(unknown[lost], np.zeros(len(lost), np.int64), self.trie.words, self.trie.sizes[level - 1]))
-                self.p[lost] += back
+                self.p[lost] += through(lambda k: self.trie.weights(level, k), unknown[lost])
         self.chain, self.fresh = nxt, self.fresh | np.concatenate([[True], self.fresh[:-1]])
 
 
