@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import table, texts, written
 
 RUN = "A-Za-z0-9+/=_\\-"
 CANDIDATE = f"(?<![{RUN}])[{RUN}]{{16,}}+"
@@ -98,7 +98,8 @@ def forest(findings: DataFrame, trees: int = 12, depth: int = 5) -> tuple[list[s
 
     own = features(F.col("found"), F.col("before"), F.col("after"))
     names = list(own)
-    rows = findings.select("label", *(c.alias(n) for n, c in own.items()))
+    # The few thousand findings and their features are written, as training reads them again for every level of the trees.
+    rows = written(written(findings, "findings").select("label", *(c.alias(n) for n, c in own.items())), "findings-features")
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=11).fit(VectorAssembler(inputCols=names, outputCol="x").transform(rows))
 
     def walk(node):
@@ -142,13 +143,23 @@ def scored(gaps: Column, found: Column, model: tuple[list[str], list]) -> Column
 
 def findings(docs: DataFrame, model: tuple[list[str], list], limit: float = 0.5) -> DataFrame:
     """One row per candidate of ``docs`` (doc_id, text): doc_id, number, start (characters before it), length, found, before, score, secret."""
+    names, trees = model
     gaps, found = parts(F.col("text"))
     rows = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", gaps.alias("gaps"), found.alias("cands"))
-    rows = rows.select("doc_id", scored(F.col("gaps"), F.col("cands"), model).alias("hits"), F.transform("gaps", F.length).alias("between"))
-    flat = rows.select("doc_id", "between", F.transform("hits", lambda h: F.length(h["found"])).alias("sizes"), F.posexplode("hits").alias("number", "hit"))
+
+    def hit(c: Column, i: Column) -> Column:
+        return F.struct(i.alias("number"), c.alias("found"), F.right(F.get("gaps", i), F.lit(AROUND)).alias("before"), F.left(F.get("gaps", i + F.lit(1)), F.lit(AROUND)).alias("after"))
+
+    rows = rows.select("doc_id", F.transform("cands", hit).alias("hits"), F.transform("gaps", F.length).alias("between"), F.transform("cands", F.length).alias("sizes"))
+    # An outer explode: for an inner one the optimizer would filter on the array's size, and build the array twice.
+    flat = rows.select("doc_id", "between", "sizes", F.explode_outer("hits").alias("hit")).where("hit is not null")
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
-    start = total(F.slice("between", F.lit(1), F.col("number") + F.lit(1))) + total(F.slice("sizes", F.lit(1), F.col("number")))
-    return flat.select("doc_id", "number", start.cast("long").alias("start"), F.length("hit.found").cast("long").alias("length"), F.col("hit.found").alias("found"), F.col("hit.before").alias("before"), F.col("hit.score").alias("score"), (F.col("hit.score") >= limit).alias("secret"))
+    start = total(F.slice("between", F.lit(1), F.col("hit.number") + F.lit(1))) + total(F.slice("sizes", F.lit(1), F.col("hit.number")))
+    flat = flat.select("doc_id", F.col("hit.number").alias("number"), start.cast("long").alias("start"), F.col("hit.found").alias("found"), F.col("hit.before").alias("before"), F.col("hit.after").alias("after"))
+    own = F.struct(*(c.alias(n) for n, c in features(F.col("found"), F.col("before"), F.col("after")).items()))
+    # Bound by a lambda, the features are computed once; as a plain column they would be copied into every split of the trees.
+    out = flat.withColumn("score", F.get(F.transform(F.array(own), lambda x: score(names, trees, x)), F.lit(0)))
+    return out.select("doc_id", "number", "start", F.length("found").cast("long").alias("length"), "found", "before", "score", (F.col("score") >= limit).alias("secret"))
 
 
 def redact(docs: DataFrame, model: tuple[list[str], list], limit: float = 0.5, text_col: str = "text", length_col: str = "n_chars", mark: str = "[secret]") -> DataFrame:
