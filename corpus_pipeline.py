@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, packed sequences out, each stage a table of its own.
 
-Stages, in order: language ID (texts that it rejects go), SimHash near-duplicates (the document with the
-smallest id of each component stays), benchmark decontamination (hit spans are cut, mostly copied texts go),
+Stages, in order: language ID (texts that it rejects go), near-duplicates (five-word shingles, Jaccard similarity of
+0.8 or more; the document with the smallest id of each component stays), benchmark decontamination (hit spans are cut, mostly copied texts go),
 secret scans (secrets are replaced by a mark) and retrieval packing. All but the last return the
 columns of ``documents``.
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm import decontam, langid, packing, secrets, simhash
+from mediaframe.llm import decontam, jaccard, langid, packing, secrets
 from mediaframe.llm.common import table, texts, written
 
 
@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of each component stays, once if its row repeats. A null id ranks after all ids, as a document of its own text."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.withColumns({"_key": F.coalesce("doc_id", mark.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)), "_mark": mark})
-    kept = simhash.near_duplicates(texts(keyed, "_key")).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    kept = jaccard.near_duplicates(texts(keyed, "_key")).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
 
 
@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Centroids, vantage-point trees, forests and retrieval have no SQL form; tests compare the stages with brute force.
+# Centroids, MinHash bands, forests and retrieval have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
