@@ -1,10 +1,12 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame expressions alone.
 
-Candidates are runs of 16 or more characters of keys and hashes. Features: length, shares of
+Candidates are runs of 16 or more characters of keys and hashes (a name before an equals sign is apart from its value),
+quoted values of 4 or more characters after a secret's name, and shorter runs of 4 or more that are assigned to such a
+name or glued to any name by an equals sign. The words around are the 40 characters on each side in the whole text. Features: length, shares of
 character kinds, transitions between kinds, distinct characters, cover by common word pieces, path
 and URL signs, and the words around. The forest is trained in the JVM on labelled findings
 (generated from fixed templates: keys in several notations against hashes, identifiers, paths, prose and
-placeholders) and its trees become one SQL expression, so scoring is a projection: no shuffle, no Python.
+placeholders; what the extractor itself finds in them is learned) and its trees become one SQL expression, so scoring is a projection: no shuffle, no Python.
 
 Edge cases: null and empty texts have no candidates and stay as they are; candidates are numbered by
 position; repeated rows give repeated findings; a text with many secrets is handled in its row.
@@ -17,12 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import table, texts, written
 
-RUN = "A-Za-z0-9+/=_\\-"
-CANDIDATE = f"(?<![{RUN}])[{RUN}]{{16,}}+"
 AROUND = 40
 # Word pieces and neighbouring words.
 PIECES = "tion|ment|ing|the|and|ent|ion|her|for|tha|ter|ers|ate|est|all|ver|ich|sch|ein|der|die|und|che|les|que|ado|nte|con|par|ous|ous|able|over|ness|pre|pro|com|app|user|data|test|name|file|value|your|here|example"
 SECRET_WORDS = "token|secret|passw|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential|signing"
+RUN = "A-Za-z0-9+/_\\-"
+LONG = f"(?<![{RUN}])(?:[{RUN}]{{16,}}+(?:={{1,2}}(?![{RUN}=]))?|[{RUN}]{{15}}=(?![{RUN}=])|[{RUN}]{{14}}==(?![{RUN}=]))"
+NAMED = f"(?i:{SECRET_WORDS})[A-Za-z0-9_-]{{0,24}}[\"'`]?\\s{{0,2}}[=:]>?\\s{{0,2}}"
+QUOTED = f"(?<=[\"'`])(?<={NAMED}[\"'`])[^\\s\"'`]{{4,}}+(?=[\"'`])"
+SHORT = f"(?<![{RUN}])(?<=[=:>]\\s{{0,2}})(?:(?<=[{RUN}]=)|(?<={NAMED}))[{RUN}]{{4,15}}+(?![{RUN}])"
+CANDIDATE = f"(?:{QUOTED}|{LONG}|{SHORT})"
 OTHER_WORDS = "sha-?[0-9]+|md5|commit|checksum|digest|hash|uuid|guid|version|build|isbn|order|tracking|invoice|phone|card|revision|etag|file|path|url|href"
 
 
@@ -48,12 +54,15 @@ def features(found: Column, before: Column, after: Column) -> dict[str, Column]:
         "secret_word": near.rlike(f"({SECRET_WORDS})[^\\n]{{0,16}}$").cast("double"),
         "other_word": near.rlike(f"\\b({OTHER_WORDS})\\b[^\\n]{{0,8}}$").cast("double"),
         "assigned": before.rlike("[=:]>?\\s*[\"'`]?$").cast("double"),
+        "name": after.rlike("^[\"'`]?\\s?[=:]").cast("double"),
         "quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double"),
     }
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled findings (found, before, after, label), ``n`` of them, from templates and hashes of their number."""
+    """Labelled findings (found, before, after, label): what the extractor finds in ``n`` texts from templates and hashes of their number.
+
+    A finding within the template's value, or around it, has its label; others, as a long key name, are no secrets."""
     a, b = "sha1(cast(id as string))", "sha2(concat('k', id), 256)"
     mixed = f"substring(translate(base64(unhex({b})), '+/=', 'xYz'), 1, cast(20 + id % 21 as int))"
     word = "element_at(array('tion','ver','ing','stand','ment','haus','eau','cion','ble','under','schaft','queen','ther','able','onder','lich'), cast(1 + pmod(xxhash64(id, {0}), 16) as int))"
@@ -68,6 +77,14 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (f"substring({mixed}, 1, 18)", "'password = \"'", "'\"'", 1),
         (f"substring({b}, 1, 32)", "'client_secret=\\''", "'\\' '", 1),
         (f"concat('sk_live_', {mixed})", "'key \"'", "'\"'", 1),
+        (a, "concat(element_at(array('AWS_SECRET_ACCESS_KEY', 'client_secret_value', 'GITHUB_API_TOKEN_PRODUCTION'), cast(1 + id % 3 as int)), if(id % 2 = 0, ' = \"', ': '))", "if(id % 2 = 0, '\" ', ' ')", 1),
+        (mixed, "concat(element_at(array('AWS_SECRET_ACCESS_KEY', 'client_secret_value', 'database_password_primary'), cast(1 + id % 3 as int)), if(id % 2 = 0, '=', ' = '))", "' '", 1),
+        (f"substring({mixed}, 1, cast(6 + id % 10 as int))", "concat(element_at(array('password', 'db_password', 'auth_token'), cast(1 + id % 3 as int)), if(id % 2 = 0, ' = \"', ': '))", "if(id % 2 = 0, '\" ', ' ')", 1),
+        (f"substring(concat(substring({mixed}, 1, 5), '!@', substring({mixed}, 6)), 1, cast(8 + id % 8 as int))", "'password = \"'", "'\" '", 1),
+        (b, "concat(element_at(array('RELEASE_FILE_CHECKSUM', 'artifact_build_digest'), cast(1 + id % 2 as int)), if(id % 2 = 0, ' = \"', ': '))", "if(id % 2 = 0, '\" ', ' ')", 0),
+        (word.format(11), "concat('the ', element_at(array('token', 'secret', 'password', 'credential'), cast(1 + id % 4 as int)), ': ')", "' and'", 0),
+        (f"concat({word.format(12)}, {word.format(13)})", "concat('the ', element_at(array('token', 'secret', 'password', 'auth'), cast(1 + id % 4 as int)), ' = \"')", "'\" was'", 0),
+        (f"concat({word.format(14)}, {word.format(15)})", "'https://example.com/?page='", "' '", 0),
         (a, "'fixed in commit '", "' by'", 0),
         (b, "'sha256: '", "' '", 0),
         (f"substring({b}, 1, 32)", "'md5 checksum = \"'", "'\"'", 0),
@@ -88,7 +105,12 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (f"concat('token_', {word.format(5)}, '_', {prose})", "'the column '", "' holds'", 0),
     ]
     pick = lambda k: "CASE pmod(id, {0}) ".format(len(kinds)) + " ".join(f"WHEN {i} THEN {x[k]}" for i, x in enumerate(kinds)) + " END"
-    return spark.range(0, n, 1, 1).selectExpr(f"{pick(0)} AS found", f"{pick(1)} AS before", f"{pick(2)} AS after", f"cast({pick(3)} as double) AS label")
+    rows = spark.range(0, n, 1, 1).selectExpr(f"{pick(0)} AS value", f"{pick(1)} AS before", f"{pick(2)} AS after", f"cast({pick(3)} as double) AS label")
+    gaps, found = parts(F.concat("before", "value", "after"))
+    rows = rows.select("value", "label", gaps.alias("gaps"), found.alias("cands"))
+    flat = rows.select("value", "label", F.explode(F.transform("cands", lambda c, i: F.struct(c.alias("found"), *(x.alias(k) for k, x in zip(("before", "after"), around(F.col("gaps"), F.col("cands"), i)))))).alias("hit"))
+    same = F.col("value").contains(F.col("hit.found")) | F.col("hit.found").contains(F.col("value"))
+    return flat.select("hit.found", "hit.before", "hit.after", F.when(same, F.col("label")).otherwise(0.0).alias("label"))
 
 
 def forest(findings: DataFrame, trees: int = 12, depth: int = 5) -> tuple[list[str], list]:
@@ -129,12 +151,29 @@ def parts(text: Column) -> tuple[Column, Column]:
     return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
 
+def around(gaps: Column, found: Column, i: Column) -> tuple[Column, Column]:
+    """The AROUND characters before and after candidate ``i`` in the whole text."""
+    # A candidate has 4 characters or more and a gap within the text 1, so this many steps cover AROUND characters.
+    steps = -(-AROUND // 5)
+    at = lambda a, k: F.coalesce(F.get(a, i + F.lit(k)), F.lit(""))
+    own, next_ = at(gaps, 0), at(gaps, 1)
+    back = F.concat(*(x for k in range(steps, 0, -1) for x in (at(gaps, -k), at(found, -k))), own)
+    on = F.concat(next_, *(x for k in range(1, steps + 1) for x in (at(found, k), at(gaps, k + 1))))
+    before = F.when(F.length(own) >= AROUND, F.right(own, F.lit(AROUND))).otherwise(F.right(back, F.lit(AROUND)))
+    after = F.when(F.length(next_) >= AROUND, F.left(next_, F.lit(AROUND))).otherwise(F.left(on, F.lit(AROUND)))
+    return before, after
+
+
 def scored(gaps: Column, found: Column, model: tuple[list[str], list]) -> Column:
     """array<struct<found, before, score>> of the candidates."""
     names, trees = model
 
     def one(c: Column, i: Column) -> Column:
-        before, after = F.right(F.get(gaps, i), F.lit(AROUND)), F.left(F.get(gaps, i + F.lit(1)), F.lit(AROUND))
+        # Bound by a lambda, the words around are built once, not for every feature.
+        before, after = around(gaps, found, i)
+        return F.get(F.transform(F.array(F.struct(before.alias("b"), after.alias("a"))), lambda x: with_features(c, x["b"], x["a"])), F.lit(0))
+
+    def with_features(c: Column, before: Column, after: Column) -> Column:
         return F.struct(c.alias("found"), before.alias("before"), F.struct(*(x.alias(n) for n, x in features(c, before, after).items())).alias("own"))
 
     with_own = F.transform(found, one)
@@ -148,7 +187,8 @@ def findings(docs: DataFrame, model: tuple[list[str], list], limit: float = 0.5)
     rows = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", gaps.alias("gaps"), found.alias("cands"))
 
     def hit(c: Column, i: Column) -> Column:
-        return F.struct(i.alias("number"), c.alias("found"), F.right(F.get("gaps", i), F.lit(AROUND)).alias("before"), F.left(F.get("gaps", i + F.lit(1)), F.lit(AROUND)).alias("after"))
+        before, after = around(F.col("gaps"), F.col("cands"), i)
+        return F.struct(i.alias("number"), c.alias("found"), before.alias("before"), after.alias("after"))
 
     rows = rows.select("doc_id", F.transform("cands", hit).alias("hits"), F.transform("gaps", F.length).alias("between"), F.transform("cands", F.length).alias("sizes"))
     # An outer explode: for an inner one the optimizer would filter on the array's size, and build the array twice.
