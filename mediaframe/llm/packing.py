@@ -8,8 +8,8 @@ query term, the next unused one in input order follows. The last, partial window
 lengths are powers of two, so nothing is padded. Shards never leave their task: no shuffle, no group
 of copies is gathered, and a task holds one shard's ids at a time.
 
-The query of a seed are its ``terms`` highest-weighted token ids (a property of the query, not a cap
-on candidates: every document with one of them is scored).
+The query of a seed are all its token ids that another document of the shard has, so every document with one of them
+is scored.
 
 Edge cases: a null text is empty (its end id alone is packed); null and repeated ids keep their rows;
 ties in score go to the earlier document; a text longer than a window spans several; an empty table gives no rows.
@@ -51,24 +51,20 @@ class Bm25:
         self.weight = idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])
         by_doc = np.argsort(self.doc, kind="stable")
         self.of_doc = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
-        self.doc_terms, self.doc_weight = term[by_doc], self.weight[by_doc]
+        self.doc_terms = term[by_doc]
         self.n, self.df = n, df
 
-    def query(self, seed: int, terms: int) -> np.ndarray:
-        """Score of every document of the shard for the seed's heaviest terms that another document has too."""
-        own = slice(self.of_doc[seed], self.of_doc[seed + 1])
-        t, w = self.doc_terms[own], self.doc_weight[own]
-        w = np.where(self.df[t] > 1, w, -1.0)
-        if len(t) > terms:
-            t, w = (x[np.argpartition(-w, terms)[:terms]] for x in (t, w))
-        t = t[w > 0]
+    def query(self, seed: int) -> np.ndarray:
+        """Score of every document of the shard for all terms of the seed that another document has too."""
+        t = self.doc_terms[self.of_doc[seed] : self.of_doc[seed + 1]]
+        t = t[self.df[t] > 1]
         if not len(t):
             return np.zeros(self.n)
         spans = [slice(self.first[x], self.first[x + 1]) for x in t.tolist()]
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int = 4096, terms: int = 24):
+def pack_shard(docs: list[np.ndarray], window: int = 4096):
     """Pieces (document, start, length, sequence, offset) of a shard and its number of sequences."""
     n = len(docs)
     index = Bm25(docs)
@@ -97,7 +93,7 @@ def pack_shard(docs: list[np.ndarray], window: int = 4096, terms: int = 24):
                 sequence, filled, seed = sequence + 1, 0, (d if at < size[d] else -1)
                 queue = []
         if seed >= 0 and not queue:
-            score = index.query(seed, terms)
+            score = index.query(seed)
             score[used] = 0
             hits = np.flatnonzero(score > 0)
             queue = hits[np.lexsort((-hits, score[hits]))].tolist()
@@ -124,7 +120,7 @@ def pack_shard(docs: list[np.ndarray], window: int = 4096, terms: int = 24):
     return pieces, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, window: int = 4096, shard_ids: int = 1_500_000, terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, window: int = 4096, shard_ids: int = 1_500_000) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text). ``sequence_id``: the partition in the high bits, a counter in the low 36."""
 
     def run(batches):
@@ -137,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, wind
 
         def flush():
             nonlocal keys, held, total, base
-            pieces, sequences = pack_shard(held, window, terms)
+            pieces, sequences = pack_shard(held, window)
             rows = np.array(pieces, dtype=np.int64).reshape(-1, 5)
             crc = [zlib.crc32(held[d][s : s + k]) for d, s, k, _, _ in pieces]
             out = {"doc_id": pa.array([keys[d] for d in rows[:, 0].tolist()], pa.int64()), "start": rows[:, 1], "length": rows[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array([len(held[d]) for d in rows[:, 0].tolist()], pa.int64()), "sequence_id": rows[:, 3] + base, "offset": rows[:, 4]}
