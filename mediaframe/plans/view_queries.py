@@ -210,7 +210,7 @@ def lru_evictions(spark, d):
 @query("SELECT doc_id, left(sha1(encode(CAST(octet_length(encode(text)) AS VARCHAR) || sha1(encode(text)) || sha1(encode(text)))), 16) AS key FROM documents WHERE octet_length(encode(text)) <= 1048576")
 def content_key(spark, d):
     raw = F.col("text").cast("binary")
-    return table(spark, d, "documents").where(F.octet_length(raw) <= 1 << 20).select("doc_id", V.content_key(raw).alias("key"))
+    return table(spark, d, "documents").select("doc_id", V.content_key(raw).alias("key"))
 
 
 @query(f"WITH {EV}, g AS (SELECT user_id, event_type, count(*) AS rows FROM ev GROUP BY ALL) SELECT user_id, event_type, CAST(sum(rows) OVER (PARTITION BY user_id ORDER BY event_type ROWS UNBOUNDED PRECEDING) - rows AS BIGINT) AS first_row FROM g")
