@@ -117,14 +117,14 @@ def rough(t: np.ndarray, v: np.ndarray) -> tuple[float, float]:
 def fit(t: np.ndarray, v: np.ndarray, w: np.ndarray | None = None, free: bool = True) -> dict:
     """Curve, start and duration of a progress series. Named curves first; the free curve only where it is clearly better.
 
-    A grid over start and duration ranks the named curves, the best few are refined, and a free curve is sought from the best of them
+    A grid over start and duration ranks the named curves, the best few are refined, and a free curve is sought from up to three of them that differ by more than 0.1
     if its error is not already below 0.002. A named curve stands if its error is within 1.25 times or 0.004 of the free one's.
     """
     w = np.ones_like(v) if w is None else w
     v = v - v[0]
     first, length = rough(t, v)
     dt = float(np.median(np.diff(t))) if len(t) > 1 else 1e-3
-    starts, durations = np.linspace(first - dt, first + dt, 9), np.linspace(0.6, 1.8, 25) * length
+    starts, durations = np.linspace(first - 0.5 * length, first + 1.5 * dt, 31), np.linspace(0.6, 1.8, 61) * length
     x = (t[None, None] - starts[:, None, None]) / durations[None, :, None]
     ranked = []
     for name in NAMED:
@@ -148,7 +148,11 @@ def fit(t: np.ndarray, v: np.ndarray, w: np.ndarray | None = None, free: bool =
             c = (min(max(p[2], 0), 1), p[3], min(max(p[4], 0), 1), p[5])
             return residual(cubic_y(c, (t - p[0]) / max(p[1], 1e-6)), v, w)
 
-        p, fe = simplex(g, np.array([s, d, *NAMED[name]]), np.array([dt / 2, d / 10, 0.1, 0.1, 0.1, 0.1]), 400)
+        seeds = []
+        for row in done + ranked:
+            if len(seeds) < 3 and all(distance(NAMED[row[1]], NAMED[x[1]]) > 0.1 for x in seeds):
+                seeds.append(row)
+        p, fe = min((simplex(g, np.array([x[2], x[3], *NAMED[x[1]]]), np.array([dt / 2, x[3] / 10, 0.1, 0.1, 0.1, 0.1]), 800) for x in seeds), key=lambda x: x[1])
         if not (e <= 1.25 * fe or e <= fe + 0.004):
             out |= {"curve": "custom", "bezier": tuple(float(x) for x in p[2:]), "start": float(p[0]), "duration": float(p[1]), "rmse": fe}
     return out
