@@ -1,11 +1,13 @@
 """The corpus pipeline: documents in, packed sequences out, each stage a table of its own.
 
-Stages, in order: language ID (texts that it rejects go), near-duplicates (five-word shingles, Jaccard similarity of
-0.8 or more; the document with the smallest id of each component stays), benchmark decontamination (hit spans are cut, mostly copied texts go),
+Stages, in order: language ID (texts that it rejects go), SimHash near-duplicates (found by vantage-point trees over wide
+fingerprints, linked at a Jaccard similarity of five-word shingles of 0.8 or more; the document with the smallest id of each component stays), benchmark decontamination (hit spans are cut, mostly copied texts go),
 secret scans (secrets are replaced by a mark) and retrieval packing. All but the last return the
 columns of ``documents``.
 
-Edge cases: whatever the operators define.
+Edge cases: a null, empty or letterless text has no language and goes with the first stage; a null id stays null and ranks after
+all ids among near-duplicates; of rows with equal id and text one stays; a text that decontamination empties goes; very long texts are
+handled whole; other columns of any name keep their values; an empty table gives empty results in every stage.
 """
 
 from __future__ import annotations
@@ -14,20 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaframe.llm import decontam, jaccard, langid, packing, secrets
-from mediaframe.llm.common import table, texts, written
+from mediaframe.llm.common import table, texts, whole_row, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
-    return langid.predict(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+    got = langid.predict(docs.select(whole_row(docs).alias("row"), F.col("text").alias("text")), model)
+    return got.where(~F.col("lang_rejected")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays, once if its row repeats. A null id ranks after all ids, as a document of its own text."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({"_key": F.coalesce("doc_id", mark.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)), "_mark": mark})
-    kept = jaccard.near_duplicates(texts(keyed, "_key")).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
+    key = F.coalesce("doc_id", mark.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+    keyed = docs.select(whole_row(docs).alias("row"), key.alias("key"), mark.alias("mark"), F.col("text").alias("text"))
+    kept = jaccard.near_duplicates(texts(keyed, "key")).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key", "mark"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Centroids, MinHash bands, forests and retrieval have no SQL form; tests compare the stages with brute force.
+# Centroids, vantage-point trees, forests and retrieval have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -72,14 +72,19 @@ def id_crc(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batch, column: int, most: int = 2_000_000):
-    """Parts of an Arrow batch with about ``most`` bytes of text in ``column`` each; a longer text stands alone."""
+def slices(batch, column: int, most: int = 2_000_000, rows: int = 1 << 30):
+    """Parts of an Arrow batch with about ``most`` bytes of text in ``column`` and at most ``rows`` rows each; a longer text stands alone."""
     import numpy as np
     import pyarrow.compute as pc
 
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))))
         yield batch.slice(at, to - at)
         at = to
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that helper columns beside it cannot clash with any of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))

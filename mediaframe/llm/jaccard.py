@@ -1,27 +1,36 @@
-"""Near-duplicates by MinHash bands and exact Jaccard similarity of word shingles.
+"""Near copies: wide SimHash fingerprints through vantage-point trees propose them, exact Jaccard similarity of word shingles decides.
 
-Each text is a set of ``shingle``-word shingles (XXH64). Texts with the same set are one node. ``bands`` bands of
-``rows`` MinHash values propose buckets of nodes; inside each bucket the sets themselves are compared, and only pairs of
-similarity ``least`` or more are linked. A pair of similarity s shares a bucket with probability
-1 - (1 - s^rows)^bands: at 0.8 with 32 bands of 4 it misses one pair in 21 million. Buckets with the same members are
-compared once. In a bucket, nodes that are linked already are not compared again, which leaves the components as they are.
-Components are found by alternating star contractions.
+Each text is a set of ``shingle``-word shingles (XXH64); texts with the same set are one node. A node's wide fingerprint is
+``WORDS`` independent 64-bit SimHashes of its words, weighted by 1 + ln(count). Every word of the fingerprint is searched through
+vantage-point trees as in ``simhash`` (``bits`` or fewer differing), and what they find must also agree in all but ``wide_bits`` of all
+bits. The groups so tied are compared by the sets themselves, and only pairs of similarity ``least`` or more are linked.
 
-Edge cases: a text of fewer words than a shingle is one shingle, a wordless one the empty set, equal to other empty ones;
+Words, not shingles, make the fingerprint because few of them change in a near copy: at a shingle similarity of 0.8 the 512 bits differ
+in about 30, while 64 bits over five-word shingles differ in about 10, too wide a ball for the trees. A pair whose bits differ
+with probability p is proposed with probability 1 - (1 - P(Binomial(64, p) <= bits))^WORDS.
+
+A group is cut by set size into steps of 1 / ``least``, as sets farther apart cannot be similar enough: each node meets its own step
+and the next. Steps of over ``block`` nodes are compared block against block, so no task holds more than two blocks.
+
+Edge cases: a text of fewer words than a shingle is one shingle; wordless and null texts have the empty set, equal to other empty ones;
 null ids take part, but a component of null ids alone has a null id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .simhash import SEED, Sets, components
+from .common import slices, written
+from .simhash import SEED, Sets, classes_of, components, near_links
 
 U64 = np.uint64
+WORDS = 8
 
 
 def shingles(text: str, shingle: int = 5) -> np.ndarray:
@@ -43,19 +52,23 @@ def node(own: np.ndarray) -> int:
     return int(np.array([xxh64_intdigest(own.tobytes(), SEED)], U64).view(np.int64)[0])
 
 
-def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One signed long per band: the hash of its number and its MinHash values; none for the empty set."""
+def wide_fingerprint(text: str) -> np.ndarray:
+    """``WORDS`` words of 64 bits; zero for a wordless text."""
     from xxhash import xxh64_intdigest
 
-    if not len(own):
-        return np.zeros(0, np.int64)
-    random = np.random.default_rng(SEED)
-    times, plus = random.integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
-    times = times * U64(2) + U64(1)
-    least = np.full(bands * rows, (1 << 64) - 1, U64)
-    for at in range(0, len(own), 4096):
-        least = np.minimum(least, (own[at : at + 4096, None] * times + plus).min(axis=0))
-    return np.array([xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(least.reshape(bands, rows))], U64).view(np.int64)
+    counts = Counter(text.encode().lower().split())
+    if not counts:
+        return np.zeros(WORDS, U64)
+    weight = 1 + np.log(np.array(list(counts.values()), dtype=np.float64))
+    h = np.array([xxh64_intdigest(w, SEED) for w in counts], U64)
+    total, step = np.zeros(64 * WORDS), 1 << 12
+    for at in range(0, len(h), step):
+        x = h[at : at + step, None] ^ (U64(0x9E3779B97F4A7C15) * np.arange(1, WORDS + 1, dtype=U64))
+        x = (x ^ x >> U64(30)) * U64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> U64(27)) * U64(0x94D049BB133111EB)
+        x ^= x >> U64(31)
+        total += weight[at : at + step] @ np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), -1), axis=1)
+    return np.packbits(total * 2 > weight.sum()).view(">u8").astype(U64)
 
 
 def links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -84,46 +97,61 @@ def links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
+def candidate_groups(distinct: DataFrame, bits: int, wide_bits: int) -> DataFrame:
+    """node, group of the nodes of ``distinct`` (node, wide) that some other node's fingerprint comes close to."""
+    by_wide = written(distinct.groupBy("wide").agg(F.min("node").alias("id"), F.count("*").alias("n")), "wide")
+
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                words = np.frombuffer(b"".join(some.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
+                for k in range(WORDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, k, np.int32)), some.column(0), pa.array(words[:, k].copy().view(np.int64)), some.column(1)], names=["part", "id", "fp", "wide"])
+
+    points = by_wide.select("id", "wide").mapInArrow(parts, "part int, id long, fp long, wide binary")
+    near = near_links(written(points, "wide-points"), bits, shards=8, words=WORDS, wide_bits=wide_bits)
+    same = distinct.join(by_wide.where("n > 1").select("wide", "id"), "wide").select(F.col("node").alias("a"), F.col("id").alias("b")).where("a <> b")
+    roots = written(components(written(near.unionByName(same), "wide-links")), "wide-groups")
+    return roots.select("node", F.col("root").alias("group")).union(roots.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct())
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int = 4, wide_bits: int = 96, block: int = 2048) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of its component) for ``docs`` (doc_id, text), one row per row."""
 
     def mark(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                sets = [shingles(t, shingle) for t in some.column(1).to_pylist()]
-                keys = pa.array([band_keys(s, bands, rows) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([node(s) for s in sets], pa.int64()), keys], names=["doc_id", "node", "keys"])
+            for some in slices(batch, 1):
+                held = some.column(1).to_pylist()
+                sets = [shingles(t, shingle) for t in held]
+                wide = [wide_fingerprint(t).astype("<u8").tobytes() for t in held]
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary())], names=["doc_id", "node", "size", "wide"])
 
     def nodes(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                got = [node(shingles(t, shingle)) for t in some.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), some.column(0)], names=["node", "text"])
+            for some in slices(batch, 0):
+                got = [shingles(t, shingle) for t in some.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "own"])
 
     def compare(t: pa.Table) -> pa.Table:
         own = t.column("node").to_numpy().astype(np.int64)
-        sets = [shingles(x.as_py(), shingle) for x in t.column("text")]
+        sets = [np.frombuffer(x.as_py(), U64) for x in t.column("own")]
         order = np.lexsort((own, [len(s) for s in sets]))
         got = np.array(links([sets[i] for i in order], least), np.int64).reshape(-1, 2)
         return pa.table({"a": own[order][got[:, 0]], "b": own[order][got[:, 1]]})
 
-    marks = written(docs.mapInArrow(mark, "doc_id long, node long, keys array<long>"), "shingle-marks")
-    distinct = written(marks.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "shingle-nodes")
-    in_bands = distinct.select("node", "rep", F.explode("keys").alias("key"))
-    # Two sums of hashes stand for the members of a bucket; of buckets with the same members one is compared.
-    h = lambda seed: F.sum(F.shiftright(F.xxhash64("node", F.lit(seed)), 24))
-    shared = in_bands.groupBy("key").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y")).where("n > 1")
-    buckets = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = written(in_bands.join(buckets, "key", "left_semi"), "shingle-members")
-    wanted = members.select("node").distinct()
+    marks = written(docs.mapInArrow(mark, "doc_id long, node long, size long, wide binary"), "shingle-marks")
+    distinct = written(marks.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("wide").alias("wide")), "shingle-nodes")
+    grouped = candidate_groups(distinct.where("size > 0").select("node", "wide"), bits, wide_bits).join(distinct.select("node", "rep", "size"), "node")
+    step = F.floor(F.log(F.col("size")) / F.lit(-math.log(least)) + F.lit(1e-9))
+    placed = written(grouped.select("node", "rep", "group", F.explode(F.array(step, step + 1)).alias("step")), "shingle-members")
+    sizes = placed.groupBy("group", "step").agg(F.count("*").alias("members")).where("members > 1").withColumn("m", F.ceil(F.col("members") / block).cast("int"))
+    mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    members = placed.join(sizes, ["group", "step"]).select("node", "rep", "group", "step", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
+    members = members.select("node", "rep", "group", "step", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    some = docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id), "left_semi").select("text").mapInArrow(nodes, "node long, text string")
-    held = written(some.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "shingle-texts")
-    found = members.select("node", "key").join(held, "node").groupBy("key").applyInArrow(compare, "a long, b long")
-    roots = components(written(found, "shingle-links"))
-    named = distinct.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = named.join(smallest, "root").select("node", "component_id")
-    return marks.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    some = docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id), "left_semi").select("text").mapInArrow(nodes, "node long, own binary")
+    held = written(some.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("own").alias("own")), "shingle-sets")
+    found = members.drop("rep").join(held, "node").groupBy("group", "step", "i", "j").applyInArrow(compare, "a long, b long")
+    classes = classes_of(distinct, "node", components(written(found, "shingle-links")))
+    return marks.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

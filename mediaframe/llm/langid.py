@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
+from .common import id_crc, slices, table
 
 DIMS = 8192
 _letter: list[np.ndarray] = []
@@ -108,8 +108,7 @@ def fit(rows: DataFrame, fit_rows: int = 500, k: int = 4) -> Model:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in slices(batch, 0):
                 held = [grams(t) for t in some.column(0).to_pylist()]
                 langs = [lang for lang, g in zip(some.column(1).to_pylist(), held) if g is not None]
                 held = [g for g in held if g is not None]
@@ -134,15 +133,15 @@ def fit(rows: DataFrame, fit_rows: int = 500, k: int = 4) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_rejected."""
+    """``docs`` with lang_pred, lang_score and lang_rejected, which replace input columns of these names."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     names = docs.columns
     at = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double, lang_rejected boolean"
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                some = batch.slice(k, 64)
+            for some in slices(batch, at, 2_000_000, 64):
                 got = model.predict(some.column(at).to_pylist())
                 more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *more], names=[*names, "lang_pred", "lang_score", "lang_rejected"])

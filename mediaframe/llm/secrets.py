@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts, written
+from .common import table, texts, whole_row, written
 
 AROUND = 40
 # Word pieces and neighbouring words.
@@ -186,16 +186,25 @@ def findings(docs: DataFrame, model: tuple[list[str], list], limit: float = 0.5)
     gaps, found = parts(F.col("text"))
     rows = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", gaps.alias("gaps"), found.alias("cands"))
 
-    def hit(c: Column, i: Column) -> Column:
-        before, after = around(F.col("gaps"), F.col("cands"), i)
-        return F.struct(i.alias("number"), c.alias("found"), before.alias("before"), after.alias("after"))
-
-    rows = rows.select("doc_id", F.transform("cands", hit).alias("hits"), F.transform("gaps", F.length).alias("between"), F.transform("cands", F.length).alias("sizes"))
-    # An outer explode: for an inner one the optimizer would filter on the array's size, and build the array twice.
-    flat = rows.select("doc_id", "between", "sizes", F.explode_outer("hits").alias("hit")).where("hit is not null")
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
-    start = total(F.slice("between", F.lit(1), F.col("hit.number") + F.lit(1))) + total(F.slice("sizes", F.lit(1), F.col("hit.number")))
-    flat = flat.select("doc_id", F.col("hit.number").alias("number"), start.cast("long").alias("start"), F.col("hit.found").alias("found"), F.col("hit.before").alias("before"), F.col("hit.after").alias("after"))
+    block = 256
+    sizes = F.zip_with(F.slice("gaps", F.lit(1), F.size("cands")), "cands", lambda g, c: F.length(g) + F.length(c))
+    blocks = lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / block).cast("int")), lambda b: total(F.slice(n, b * block + F.lit(1), F.lit(block))))
+
+    def hits(x: Column) -> Column:
+        def hit(c: Column, i: Column) -> Column:
+            before, after = around(F.col("gaps"), F.col("cands"), i)
+            # The sizes of whole blocks of candidates before this one, then of those in its own block: no sum over all before.
+            start = total(F.slice(x["blocks"], F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(x["sizes"], i - i % block + F.lit(1), i % block)) + F.length(F.get("gaps", i))
+            return F.struct(i.alias("number"), start.cast("long").alias("start"), c.alias("found"), before.alias("before"), after.alias("after"))
+
+        return F.transform("cands", hit)
+
+    # Bound by lambdas, the sizes and their sums are computed once a text.
+    bound = F.transform(F.transform(F.array(sizes), lambda n: F.struct(n.alias("sizes"), blocks(n).alias("blocks"))), hits)
+    rows = rows.select("doc_id", F.get(bound, F.lit(0)).alias("hits"))
+    # An outer explode: for an inner one the optimizer would filter on the array's size, and build the array twice.
+    flat = rows.select("doc_id", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", "hit.*")
     own = F.struct(*(c.alias(n) for n, c in features(F.col("found"), F.col("before"), F.col("after")).items()))
     # Bound by a lambda, the features are computed once; as a plain column they would be copied into every split of the trees.
     out = flat.withColumn("score", F.get(F.transform(F.array(own), lambda x: score(names, trees, x)), F.lit(0)))
@@ -204,18 +213,18 @@ def findings(docs: DataFrame, model: tuple[list[str], list], limit: float = 0.5)
 
 def redact(docs: DataFrame, model: tuple[list[str], list], limit: float = 0.5, text_col: str = "text", length_col: str = "n_chars", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret replaced by ``mark``; other rows, and false positives, stay as they are. ``length_col``, if there, follows the new text."""
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"row.`{text_col}`")
     gaps, found = parts(text)
-    hits = scored(F.col("_gaps"), F.col("_cands"), model)
     has = text.rlike(CANDIDATE)
-    out = docs.withColumns({"_gaps": F.when(has, gaps), "_cands": F.when(has, found)}).withColumn("_hits", hits)
-    any_ = F.coalesce(F.exists("_hits", lambda h: h["score"] >= limit), F.lit(False))
-    kept = F.transform("_hits", lambda h: F.when(h["score"] >= limit, mark).otherwise(h["found"]))
-    again = F.concat(F.get("_gaps", F.lit(0)), F.array_join(F.zip_with(kept, F.slice("_gaps", F.lit(2), F.greatest(F.size("_gaps") - F.lit(1), F.lit(0))), lambda c, g: F.concat(c, g)), ""))
+    out = docs.select(whole_row(docs).alias("row")).withColumns({"gaps": F.when(has, gaps), "cands": F.when(has, found)})
+    out = out.withColumn("hits", scored(F.col("gaps"), F.col("cands"), model))
+    any_ = F.coalesce(F.exists("hits", lambda h: h["score"] >= limit), F.lit(False))
+    kept = F.transform("hits", lambda h: F.when(h["score"] >= limit, mark).otherwise(h["found"]))
+    again = F.concat(F.get("gaps", F.lit(0)), F.array_join(F.zip_with(kept, F.slice("gaps", F.lit(2), F.greatest(F.size("gaps") - F.lit(1), F.lit(0))), lambda c, g: F.concat(c, g)), ""))
     new = {text_col: F.when(any_, again).otherwise(text)}
     if length_col in docs.columns:
-        new[length_col] = F.when(any_, F.length(again).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return out.withColumns(new).drop("_gaps", "_cands", "_hits")
+        new[length_col] = F.when(any_, F.length(again).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.`{length_col}`"))
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def trained(spark: SparkSession) -> tuple[list[str], list]:

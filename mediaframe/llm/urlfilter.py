@@ -6,8 +6,10 @@ encodes the listed keys; level 1 the keys of the corpus that level 0 admits wron
 admits; and so on until a level admits nothing wrongly. Over that complete key universe the answer
 is exact. One cascade holds the block rules, one the allow rules.
 
-The bits travel inside the plan as literals, so their number is checked: lists that need more than ``max_words``
-64-bit words go by an equi-join on the key instead.
+Level 0 is sized by how many candidate keys the corpus has: of r listed among s others it admits about r / sqrt(2) wrongly, and every
+later level half of what it must refuse, so a cascade takes about r * (1.44 * log2(s / r) + 4) bits however large the corpus is, and
+that many at most reach the driver. They travel inside the plan as one array literal a level, bound once for all
+candidate keys of a row; a level of over ``MOST_WORDS`` 64-bit words (several million rules) raises.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path; rules with null or empty host are
 ignored; of several fitting rules the longest key wins, then the longer host; a key listed both ways
@@ -16,14 +18,14 @@ blocks; without rules everything gets the default verdict; repeated rows keep th
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table, written
 
-BITS_PER_KEY, HASHES = 10, 7
+MOST_WORDS = 1 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -35,37 +37,38 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 class Level:
-    def __init__(self, keys: DataFrame, number: int):
-        """A Bloom filter of the distinct ``key``s; at most one row per 64-bit word reaches the driver."""
-        self.number, self.size = number, keys.count()
-        self.words = max(1, -(-self.size * BITS_PER_KEY // 64))
-        places = F.explode(F.array(*self.places(F.col("key"))))
-        got = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
-        self.bits = [0] * self.words
-        for w, bits in got:
-            self.bits[w] = bits
-
-    def places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.number * HASHES + i)), F.lit(self.words * 64)).cast("long") for i in range(HASHES)]
+    def __init__(self, keys: DataFrame, size: int, number: int, rate: float):
+        """A Bloom filter of ``size`` distinct ``key``s that admits others at ``rate``; at most one row per 64-bit word reaches the driver."""
+        self.number, self.hashes = number, max(1, round(-math.log2(rate)))
+        self.words = max(1, math.ceil(size * -math.log(rate) / math.log(2) ** 2 / 64))
+        if self.words > MOST_WORDS:
+            raise ValueError("too many rules for one cascade")
+        got = keys.select(F.explode(self.places(F.col("key"))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
+        bits = [0] * self.words
+        for w, b in got:
+            bits[w] = b
+        # One string, folded to one array literal when the plan is made.
+        self.bits = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+
+    def places(self, key: Column) -> Column:
+        return F.array(*(F.pmod(F.xxhash64(key, F.lit(self.number << 8 | i)), F.lit(self.words * 64)).cast("long") for i in range(self.hashes)))
 
     def admits(self, key: Column) -> Column:
-        words = F.array(*(F.lit(w).cast("long") for w in self.bits))
-        tests = [F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))) != 0 for p in self.places(key)]
-        return reduce(lambda x, y: x & y, tests)
+        return F.forall(self.places(key), lambda p: F.get(self.bits, F.shiftright(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
 
 
 class Cascade:
-    def __init__(self, listed: DataFrame, universe: DataFrame, most: int = 64):
-        """``listed`` and ``universe``: a string ``key``. Keys of either side that a level admits wrongly make the next level."""
+    def __init__(self, listed: DataFrame, universe: DataFrame, queried: int, most: int = 64):
+        """``listed`` and ``universe``: a string ``key``; ``queried``: rows of ``universe``. Keys of either side that a level admits wrongly make the next level."""
         listed = written(listed.select("key").distinct(), "listed")
-        first = Level(listed, 0)
-        self.levels = [first]
-        wrong = universe.where(first.admits(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
+        size = listed.count()
+        self.levels = [Level(listed, size, 0, min(0.5, size / (math.sqrt(2) * max(queried, 1))) if size else 0.5)]
+        wrong = universe.where(self.levels[0].admits(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
         kept, other = listed, written(wrong, "admitted")  # what the last level held, and what it admits wrongly
-        while not other.isEmpty():
+        while size := other.count():
             if len(self.levels) == most:
                 raise ValueError("the cascade does not end")
-            level = Level(other, len(self.levels))
+            level = Level(other, size, len(self.levels), 0.5)
             self.levels.append(level)
             kept, other = other, written(kept.where(level.admits(F.col("key"))), "admitted")
 
@@ -76,42 +79,37 @@ class Cascade:
         return answer
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url", max_words: int = 16_384) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (the winning key, else null) and verdict. ``rules``: host, path, verdict (block or allow).
 
-    Output columns replace input columns of the same name.
+    Output columns replace input columns of the same name; any other input column stays, whatever its name.
     """
     rules = rules.where(F.length("host") > 0).select(F.concat("host", F.coalesce("path", F.lit(""))).alias("key"), "verdict", F.size(F.split("host", r"\.")).alias("labels"), F.length(F.coalesce("path", F.lit(""))).alias("long")).distinct()
+    rules = written(rules, "rules")
     shapes = sorted(tuple(r) for r in rules.select("labels", "long").distinct().collect())  # few: pairs of small numbers
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_path(F.col(f"`{url_col}`"))
-    out = pages.withColumns({"host": host, "path": path})
+    out = pages.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), host.alias("host"), path.alias("path"))
 
     def key(labels: int, long: int) -> Column:
         fits = (F.size(F.split("host", r"\.")) >= labels) & (F.length("path") >= long) & (F.col("host") != "")
-        return F.when(fits, F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, long)))
+        return F.when(fits, F.struct(F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, long)).alias("key"), F.lit(long).alias("long")))
 
-    keys = {f"_key_{a}_{b}": key(a, b) for a, b in shapes}
+    names = [F.col(f"own.`{c}`").alias(c) for c in own]
     if not shapes:
-        return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    if rules.count() * BITS_PER_KEY > 64 * max_words:
-        listed = rules.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"))
-        for name, column in keys.items():
-            side = listed.select(F.col("key").alias(name), F.when(F.col("block"), "block").otherwise("allow").alias(f"{name}_verdict"))
-            out = out.withColumn(name, column).join(side, name, "left")
-        found = [F.when(F.col(f"{n}_verdict").isNotNull(), F.struct(F.length(n).alias("a"), (F.length(n) - b).alias("b"), F.col(n).alias("key"), F.col(f"{n}_verdict").alias("verdict"))) for n, (_, b) in zip(keys, shapes)]
-        drop = [x for n in keys for x in (n, f"{n}_verdict")]
-    else:
-        universe = pages.select(host.alias("host"), path.alias("path")).select(F.explode(F.array(*keys.values())).alias("key")).where("key is not null")
-        block, allow = (Cascade(rules.where(F.col("verdict") == v), universe) for v in ("block", "allow"))
-        out = out.withColumns(keys)
-        found = []
-        for n, (_, b) in zip(keys, shapes):
-            verdict = F.when(block.contains(F.col(n)), "block").when(allow.contains(F.col(n)), "allow")
-            found.append(F.when(F.col(n).isNotNull() & verdict.isNotNull(), F.struct(F.length(n).alias("a"), (F.length(n) - b).alias("b"), F.col(n).alias("key"), verdict.alias("verdict"))))
-        drop = list(keys)
-    best = F.greatest(*found) if len(found) > 1 else found[0]
-    out = out.withColumn("_best", best)
-    return out.withColumns({"rule": F.col("_best.key"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best", *drop)
+        return out.select(*names, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keys = F.filter(F.array(*(key(a, b) for a, b in shapes)), lambda k: k.isNotNull())
+    universe = out.select(F.explode(keys).alias("k")).select("k.key")
+    queried = universe.count()
+    block, allow = (Cascade(rules.where(F.col("verdict") == v), universe, queried) for v in ("block", "allow"))
+
+    def judged(k: Column) -> Column:
+        verdict = F.when(block.contains(k["key"]), "block").when(allow.contains(k["key"]), "allow")
+        return F.struct(F.length(k["key"]).alias("a"), (F.length(k["key"]) - k["long"]).alias("b"), k["key"].alias("key"), verdict.alias("verdict"))
+
+    best = F.array_max(F.filter(F.transform(keys, judged), lambda x: x["verdict"].isNotNull()))
+    out = out.withColumn("best", best)
+    return out.select(*names, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
