@@ -96,11 +96,13 @@ class Sequence:
         out[over & (h > 0)] = self.n
         return out
 
-    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of values below each ``x``, the end of its run of equal high bits, and its low bits."""
+    def _search(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the first value not below each ``x`` (from ``lo`` on, ``hi`` at most), the end of its run of equal high bits, and its low bits."""
         h = np.minimum(x >> U64(self.bits), U64(1 << 62)).astype(np.int64)
         want = x & U64((1 << self.bits) - 1)
         a, end = self._before(h), self._before(h + 1)
+        if lo is not None:
+            a, end = np.clip(a, lo, hi), np.clip(end, lo, hi)
         b = end.copy()
         live = np.flatnonzero(a < b)
         while len(live):
@@ -111,17 +113,17 @@ class Sequence:
             live = live[a[live] < b[live]]
         return a, end, want
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Number of values below each ``x``: the place of its successor."""
+    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Place of the successor of each ``x``: the number of values below it, or the first such place in [lo, hi]."""
         x = np.asarray(x, dtype=U64)
-        return self._search(x)[0] if self.n and len(x) else np.zeros(len(x), np.int64)
+        return self._search(x, lo, hi)[0] if self.n and len(x) else np.zeros(len(x), np.int64)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each ``x`` (its successor, if that is ``x`` itself), -1 where it is not a value."""
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Place of each ``x`` (its successor, if that is ``x`` itself) within [lo, hi) if given, -1 where it is not a value."""
         x = np.asarray(x, dtype=U64)
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        at, end, want = self._search(x)
+        at, end, want = self._search(x, lo, hi)
         inside = np.flatnonzero(at < end)
         out = np.full(len(x), -1, np.int64)
         same = inside[self.lows(at[inside]) == want[inside]]

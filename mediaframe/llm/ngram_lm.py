@@ -1,19 +1,25 @@
 """N-gram language model in an Elias-Fano trie, built and queried on the cluster.
 
-Tokens are words (A-Z lower-cased) and one end per text. Level 1 holds every training word with its exact
-count; level k > 1 holds the k-grams seen at least twice, found level by level: a k-gram is counted
-only where the (k-1)-grams at its start and end were kept, which loses none. Probabilities are
-absolutely discounted and interpolated down to the add-0.1 unigrams.
+Tokens are words (A-Z lower-cased) and one end per text. Level k holds every k-gram of the training texts, those seen once too.
+Probabilities are absolutely discounted and interpolated down to the add-0.1 unigrams:
+p(w | c) = max(count - D, 0) / mass(c) + D * children(c) / mass(c) * p(w | c without its first word), where
+mass(c) is how often c was followed by a token.
 
 A level is cut into segments by key ranges, each a file in the shared folder:
   level 1: the words' 64-bit hashes and the running sums of their counts, both Elias-Fano;
-  level k: the distinct parents (ids of the level above), the pointers to their children, and the children as one
-  monotone sequence ``parent * words + word``, all Elias-Fano, searched for the successor within the parent's
-  pointers; probabilities and parents' back-off weights in 8 bits over the segment's range.
-Tasks map segments and read only the pages they touch; sorted, distinct queries go through them in order.
+  level k: the distinct parents (ids of the level above), the pointers to their children, and the children, each parent's words
+  on top of the last value of the parent before, which makes the whole sequence monotone; all Elias-Fano. The discounted
+  probabilities and the parents' back-off weights stand in 8 bits over the segment's range.
+A lookup finds the parent, reads its two pointers and the value before them, and searches the successor of the
+word between the pointers. Tasks map segments and read only the pages they touch; sorted, distinct queries go through them in order.
 
-A word is its 64-bit hash: two of V words collide with probability V^2 / 2^65, and would share a count.
-Keys need words * parents < 2^64; beyond, ``packed`` raises.
+Texts are tokenised for counting words and once more into word ids, which are written; the id of the n-gram that ends at
+each token is written beside them, level by level. Counts leave the mappers as sorted blocks for key ranges of equal mass,
+whose number follows the size of the texts, so a task's part does not grow with the corpus. A context whose children
+span several ranges has its mass and children summed over them on the driver: at most two contexts a range.
+
+A word is its 64-bit hash: tabulation by place and byte for up to 32 bytes, XXH64 beyond. Two of V words collide with probability
+V^2 / 2^65, and would share a count. Keys need words * parents < 2^64; beyond, ``packed`` raises.
 
 Edge cases: null texts are empty (their end alone); null ids count as the empty text for the split; repeated
 rows are counted again; without training rows every token is unknown; an empty table gives no rows.
@@ -27,41 +33,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_crc, publish, shared_dir, slices, table, texts, written
 from .elias_fano import Sequence, map_file, to_file
 
 U64 = np.uint64
-ADD, DISCOUNT, LEAST = 0.1, 0.75, 2
-ROOT = U64(0x9E3779B97F4A7C15 | 1)
-BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+ADD, DISCOUNT = 0.1, 0.75
+PLACES = 32
+PLACE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256 * PLACES, dtype=np.uint64)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = U64(pow(int(ROOT), -1, 1 << 64))
-        for k, base in enumerate((ROOT, inverse)):
-            _powers[k] = np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, base, U64)]), dtype=U64)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of the texts in order (0: an end), and each text's number of tokens."""
-    buffer = np.frombuffer(b"\n".join(raws).lower() + b"\n", dtype=np.uint8)
+    from xxhash import xxh64_intdigest
+
+    raw = b"\n".join(raws).lower() + b"\n"
+    buffer = np.frombuffer(raw, dtype=np.uint8)
     space = SPACE[buffer]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(buffer))
-    up, down = powers(len(buffer) + 1)
-    sums = np.concatenate([[U64(0)], np.cumsum(BYTE_VALUES[buffer] * up[:-1], dtype=U64)])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h = (h ^ h >> U64(32)) * U64(0xD6E8FEB86659FD93)
-    h = (h ^ h >> U64(29)) * U64(0xA0761D6478BD642F)
-    h = np.maximum(h ^ h >> U64(32), U64(1))
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    inside = buffer[~space]
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    h = np.add.reduceat(PLACE_VALUES[(np.minimum(place, PLACES - 1) << 8) + inside], first) if len(first) else np.zeros(0, U64)
+    for k in np.flatnonzero(sizes > PLACES).tolist():
+        h[k] = xxh64_intdigest(raw[starts[k] : ends[k]], 42)
+    h = np.maximum(h, U64(1))
     text_ends = np.cumsum([len(r) + 1 for r in raws])
     text = np.searchsorted(text_ends, starts, "right")
     out = np.zeros(len(h) + len(raws), dtype=U64)
@@ -109,11 +109,39 @@ class Codes:
         return self.lo + self.step * self.codes[i]
 
 
+class Segment:
+    """One file of a level above the first. ``fixes``: for the first and last parent, what other segments hold of them changes (row -> shift of the probabilities, weight)."""
+
+    def __init__(self, path: str, fixes: dict[int, tuple[float, float]]):
+        groups = map_file(path)
+        self.parents, self.pointers, self.child = (Sequence.read(g) for g in groups[:3])
+        self.probability, self.weight, self.fixes = Codes(groups[3]), Codes(groups[4]), fixes
+
+    def weights(self, rows: np.ndarray) -> np.ndarray:
+        out = self.weight[rows]
+        for row, (_, weight) in self.fixes.items():
+            out[rows == row] = weight
+        return out
+
+    def find(self, rows: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Places of ``words`` among the children of ``rows`` (each with the next ``counts`` words), -1 if absent."""
+        a, b = self.pointers[rows].astype(np.int64), self.pointers[rows + 1].astype(np.int64)
+        base = np.where(a > 0, self.child[np.maximum(a - 1, 0)], U64(0))
+        return self.child.find(np.repeat(base, counts) + words, np.repeat(a, counts), np.repeat(b, counts))
+
+    def shifted(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Probabilities of the entries ``at`` with the fixes of their parents."""
+        for row, (shift, _) in self.fixes.items():
+            a, b = self.pointers[np.array([row, row + 1])].astype(np.int64)
+            p[(at >= a) & (at < b)] += shift
+        return p
+
+
 class Trie:
-    """The levels so far. ``levels``: for each, its segments (path, first key, first id), ``sizes``: entries; ``total``: training tokens."""
+    """The levels so far. ``levels``: for each, its segments (path, first key, first id, fixes), ``sizes``: entries, ``marks``: (id, mass before it) points; ``total``: training tokens."""
 
-    def __init__(self, levels: list[list[tuple[str, int, int]]], sizes: list[int], total: int):
-        self.levels, self.sizes, self.total, self.open = levels, sizes, total, {}
+    def __init__(self, levels: list[list[tuple]], sizes: list[int], marks: list[np.ndarray], total: int):
+        self.levels, self.sizes, self.marks, self.total, self.open = levels, sizes, marks, total, {}
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
@@ -122,10 +150,10 @@ class Trie:
     def words(self) -> int:
         return self.sizes[0]
 
-    def segment(self, level: int, k: int) -> list:
+    def segment(self, level: int, k: int):
         if (level, k) not in self.open:
-            groups = map_file(self.levels[level][k][0])
-            self.open[level, k] = [Sequence.read(g) for g in groups[: 2 if level == 0 else 4]] + [Codes(g) for g in groups[4:]]
+            path, _, _, fixes = self.levels[level][k]
+            self.open[level, k] = Segment(path, fixes) if level else [Sequence.read(g) for g in map_file(path)]
         return self.open[level, k]
 
     def _spread(self, level: int, by: int, x: np.ndarray):
@@ -147,66 +175,71 @@ class Trie:
             out[s] = np.where(at >= 0, at + self.levels[0][k][2], -1)
         return out
 
-    def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """Training counts of ascending entry ids."""
-        out = np.zeros(len(ids), dtype=np.float64)
-        for k, s in self._spread(level, 2, ids.astype(U64)):
-            sums, at = self.segment(level, k)[1], ids[s] - self.levels[level][k][2]
-            out[s] = (sums[at + 1] - sums[at]).astype(np.float64)
-        return out
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
+    def unigrams(self, ids: np.ndarray) -> np.ndarray:
+        """log10 probabilities of ascending word ids (-1: unknown)."""
+        counts, known = np.zeros(len(ids)), np.flatnonzero(ids >= 0)
+        for k, s in self._spread(0, 2, ids[known].astype(U64)):
+            sums, at = self.segment(0, k)[1], ids[known[s]] - self.levels[0][k][2]
+            counts[known[s]] = (sums[at + 1] - sums[at]).astype(np.float64)
         return np.log10((counts + ADD) / (self.total + ADD * (self.words + 1)))
 
-    def children(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of ascending packed keys (parent, word): entry ids (-1: absent), log10 probabilities, and the parents' log10 back-off weights (0: no children)."""
-        n = len(keys)
-        ids, p, back = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
-        m = U64(self.words)
+    def children(self, level: int, keys: np.ndarray, scored: bool = True) -> tuple[np.ndarray, ...]:
+        """Of ascending distinct packed keys (parent, word): entry ids (-1: absent) and, if ``scored``, the discounted log10 probabilities (-inf: absent) and the parents' log10 back-off weights (0: no children)."""
+        n, m = len(keys), U64(self.words)
+        ids = np.full(n, -1, np.int64)
+        p, back = (np.full(n, -np.inf), np.zeros(n)) if scored else (None, None)
         for k, s in self._spread(level, 1, keys):
-            parents, _, child, _, probability, weight = self.segment(level, k)
+            own, first_id = self.segment(level, k), self.levels[level][k][2]
             parent = keys[s] // m
-            row = parents.find(parent)
-            has = np.flatnonzero(row >= 0)
-            row = row[has]
-            # The children of a parent stand together, so the successor of (row, word) lies among them or the word is absent.
-            at = child.find(row.astype(U64) * m + (keys[s][has] - parent[has] * m))
-            got = np.flatnonzero(at >= 0)
-            back[has + s.start] = weight[row]
-            where = has[got] + s.start
-            ids[where], p[where] = at[got] + self.levels[level][k][2], probability[at[got]]
-        return ids, p, back
+            starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+            counts = np.diff(np.append(starts, len(parent)))
+            row = own.parents.find(parent[starts])
+            has = row >= 0
+            if not has.any():
+                continue
+            at_key = np.flatnonzero(np.repeat(has, counts))
+            rows, counts = row[has], counts[has]
+            at = own.find(rows, counts, keys[s][at_key] - parent[at_key] * m)
+            got = at >= 0
+            where = at_key[got] + s.start
+            ids[where] = at[got] + first_id
+            if scored:
+                back[at_key + s.start] = np.repeat(own.weights(rows), counts)
+                p[where] = own.shifted(own.probability[at[got]], at[got])
+        return (ids, p, back) if scored else (ids,)
+
+    def probabilities(self, level: int, ids: np.ndarray) -> np.ndarray:
+        """Discounted log10 probabilities of ascending entry ids of a level above the first (-1: -inf)."""
+        out, there = np.full(len(ids), -np.inf), np.flatnonzero(ids >= 0)
+        for k, s in self._spread(level, 2, ids[there].astype(U64)):
+            own, at = self.segment(level, k), ids[there[s]] - self.levels[level][k][2]
+            out[there[s]] = own.shifted(own.probability[at], at)
+        return out
 
     def weights(self, level: int, parents: np.ndarray) -> np.ndarray:
-        """Back-off weights of ascending parent ids, 0 for those without children."""
-        out = np.zeros(len(parents))
-        keys = parents.astype(U64) * U64(self.words)
-        for k, s in self._spread(level, 1, keys):
-            row = self.segment(level, k)[0].find(parents[s].astype(U64))
+        """Back-off weights at ``level`` of ascending parent ids, 0 for those without children (or -1)."""
+        out, there = np.zeros(len(parents)), np.flatnonzero(parents >= 0)
+        for k, s in self._spread(level, 1, parents[there].astype(U64) * U64(self.words)):
+            own = self.segment(level, k)
+            row = own.parents.find(parents[there[s]].astype(U64))
             has = np.flatnonzero(row >= 0)
-            out[has + s.start] = self.segment(level, k)[5][row[has]]
+            out[there[s][has]] = own.weights(row[has])
         return out
 
     def continuations(self, level: int, parent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids and log10 probabilities of all children of an entry, by its pointers; of each segment that holds some."""
+        """Word ids and discounted log10 probabilities of all children of an entry, by its pointers; of each segment that holds some."""
         words, p = [], []
         for k in range(len(self.levels[level])):
-            parents, _, child, pointers, probability, _ = self.segment(level, k)
-            row = parents.find(np.array([parent], U64))
+            own = self.segment(level, k)
+            row = own.parents.find(np.array([parent], U64))
             if row[0] >= 0:
-                a, b = pointers[np.array([row[0], row[0] + 1])].astype(np.int64)
+                a, b = own.pointers[np.array([row[0], row[0] + 1])].astype(np.int64)
                 at = np.arange(a, b)
-                words.append((child[at] - U64(int(row[0]) * self.words)).astype(np.int64))
-                p.append(probability[at])
+                base = own.child[np.array([a - 1])][0] if a else U64(0)
+                words.append((own.child[at] - base).astype(np.int64))
+                p.append(own.shifted(own.probability[at], at))
         return (np.concatenate(words), np.concatenate(p)) if words else (np.zeros(0, np.int64), np.zeros(0))
 
-    def last_words(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """Last word of ascending entry ids of a level above the first."""
-        out = np.zeros(len(ids), dtype=np.int64)
-        for k, s in self._spread(level, 2, ids.astype(U64)):
-            out[s] = (self.segment(level, k)[2][ids[s] - self.levels[level][k][2]] % U64(self.words)).astype(np.int64)
-        return out
-
 
 def through(f, x: np.ndarray):
     """``f`` over the distinct ascending values of ``x``, spread back to ``x``."""
@@ -215,94 +248,53 @@ def through(f, x: np.ndarray):
     return tuple(g[back] for g in got) if isinstance(got, tuple) else got[back]
 
 
-class Walk:
-    """The tokens of some texts against a trie, level by level. ``chain``: entry ids of the n-gram that ends at each token, -1 if absent or broken by a text's start."""
-
-    def __init__(self, trie: Trie, hashes: np.ndarray, lengths: np.ndarray, scored: bool):
-        some, back = np.unique(hashes, return_inverse=True)
-        ids = trie.ids(some)
-        self.word = ids[back]
-        self.trie, first = trie, np.zeros(len(hashes), dtype=bool)
-        first[np.cumsum(lengths) - lengths] = True
-        self.start = first
-        self.chain, self.fresh = self.word.copy(), first.copy()  # fresh: fewer tokens before than the level needs
-        if scored:
-            counts = np.zeros(len(some))
-            counts[ids >= 0] = trie.counts(0, ids[ids >= 0])
-            self.base = trie.unigram(counts)[back]
-            self.p = self.base.copy()
-
-    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens whose next longer n-gram can be in the trie, and that n-gram's parent: the n-gram that ended one token before."""
-        before = np.concatenate([[-1], self.chain[:-1]])
-        ok = (before >= 0) & (self.word >= 0) & ~self.fresh
-        return np.flatnonzero(ok), before
-
-    def deeper(self, level: int) -> None:
-        at, before = self.candidates()
-        nxt = np.full(len(self.word), -1, np.int64)
-        if len(at):
-            keys = packed(before[at], self.word[at], self.trie.words, self.trie.sizes[level - 1])
-            ids, p, back = through(lambda k: self.trie.children(level, k), keys)
-            nxt[at] = ids
-            if hasattr(self, "p"):
-                self.p[at] = np.where(ids >= 0, p, back + self.p[at])
-        unknown = np.concatenate([[-1], self.chain[:-1]])
-        if hasattr(self, "p"):  # an unknown word after a context that has children
-            lost = np.flatnonzero((unknown >= 0) & (self.word < 0) & ~self.fresh)
-            if len(lost):
-                self.p[lost] += through(lambda k: self.trie.weights(level, k), unknown[lost])
-        self.chain, self.fresh = nxt, self.fresh | np.concatenate([[True], self.fresh[:-1]])
-
-
-def mix(keys: np.ndarray) -> np.ndarray:
-    h = (keys ^ keys >> U64(31)) * U64(0xBF58476D1CE4E5B9)
-    return (h ^ h >> U64(27)) >> U64(33)
-
-
-def counted(docs: DataFrame, trie: Trie | None, level: int, buckets: int, flush: int = 4_000_000) -> DataFrame:
-    """(bucket, keys, counts) blocks of the level's n-grams in the training texts ``docs`` (text)."""
+def before(chain: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value one token earlier in the same text, else -1."""
+    out = np.concatenate([[-1], chain[:-1]])
+    out[first] = -1
+    return out
 
-    def run(batches):
-        held, size = [], 0
 
-        def emit():
-            nonlocal held, size
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
-            held, size = [], 0
-            # Words go to buckets by hash range, since level 1 is ordered by hash; longer n-grams by a hash of their key.
-            b = ((keys >> U64(32)) * U64(buckets) >> U64(32)) if trie is None else mix(keys) % U64(buckets)
-            order = np.argsort(b, kind="stable")
-            ends = np.searchsorted(b[order], np.arange(1, buckets + 1).astype(U64), "left")
-            at = 0
-            rows: tuple[list, list, list] = ([], [], [])
-            for k, end in enumerate(ends.tolist()):
-                if end > at:
-                    own = order[at:end]
-                    for to, x in zip(rows, (k, squeeze(keys[own]), squeeze(counts[own].astype(U64)))):
-                        to.append(x)
-                at = end
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["bucket", "keys", "counts"])
+class Ids:
+    """Ids per text as bytes: 4 each while they are below 2^32 - 1, else 8; the largest value stands for -1."""
+
+    def __init__(self, below: int):
+        self.type = np.dtype("<u4") if below < (1 << 32) - 1 else np.dtype("<u8")
+
+    def pack(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(lengths)]) * self.type.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.astype(self.type).tobytes())]).cast(pa.binary())
+
+    def unpack(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        held = column.to_pylist()
+        got = np.frombuffer(b"".join(held), self.type)
+        ids = np.where(got == np.iinfo(self.type).max, np.int64(-1), got.astype(np.int64))
+        return ids, np.array([len(x) // self.type.itemsize for x in held], np.int64)
+
+
+def blocks(keys: list[np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
+    """(bucket, keys, counts): the distinct keys and their counts, sorted, cut at ``cuts``."""
+    some, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
+    at = np.concatenate([[0], np.searchsorted(some, cuts, "left"), [len(some)]])
+    rows = [(k, squeeze(some[a:b]), squeeze(counts[a:b].astype(U64))) for k, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "keys", "counts"])
+
 
+def counted(rows: DataFrame, column: int, keys_of, cuts: np.ndarray, flush: int = 4_000_000) -> DataFrame:
+    """(bucket, keys, counts) blocks of the keys that ``keys_of`` finds in parts of the batches of ``rows``."""
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for some in slices(batch, 0):
-                hashes, lengths = tokens([t.encode() for t in some.column(0).to_pylist()])
-                if trie is None:
-                    held.append(hashes)
-                else:
-                    walk = Walk(trie, hashes, lengths, False)
-                    for k in range(1, level):
-                        walk.deeper(k)
-                    # Here chain ends the n-grams of the level above; both it and the one before must be there.
-                    where, before = walk.candidates()
-                    where = where[walk.chain[where] >= 0]
-                    held.append(packed(before[where], walk.word[where], trie.words, trie.sizes[level - 1]))
+            for some in slices(batch, column, 4_000_000):
+                held.append(keys_of(some))
                 size += len(held[-1])
                 if size >= flush:
-                    yield emit()
-        yield emit()
+                    yield blocks(held, cuts)
+                    held, size = [], 0
+        yield blocks(held, cuts)
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary")
+    return rows.mapInArrow(run, "bucket int, keys binary, counts binary")
 
 
 def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -311,131 +303,192 @@ def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def mass_marks(counts: np.ndarray, most: int = 64) -> bytes:
+    """(entry, mass before it) points around each ``1 / most`` of the mass; an entry heavier than that stands between two points of its own."""
+    sums = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+    at = np.unique(np.searchsorted(sums[1:], sums[-1] * np.arange(1, most + 1) / most, "left").clip(0, len(counts) - 1))
+    at = np.unique(np.concatenate([[0], at, at + 1]))
+    return np.stack([at, sums[at]]).astype("<i8").tobytes()
+
+
+def joined_marks(parts: list[tuple[bytes, int, int]]) -> np.ndarray:
+    """The marks of a level from its segments' (marks, first id, mass before it)."""
+    return np.concatenate([np.frombuffer(m, "<i8").reshape(2, -1) + np.array([[i], [c]]) for m, i, c in parts], axis=1) if parts else np.zeros((2, 0), np.int64)
+
+
+def key_cuts(trie: Trie, level: int, buckets: int) -> np.ndarray:
+    """Keys that cut the n-grams of ``level`` (from 1) into ``buckets`` parts of about equal mass: between parents, or, where a parent is heavy, between its words by their own mass."""
+    at, mass = trie.marks[level - 1]
+    words, word_mass = trie.marks[0]
+    if not len(at):
+        return np.zeros(0, U64)
+    out = set()
+    for t in (mass[-1] * np.arange(1, buckets) / buckets).tolist():
+        k = max(int(np.searchsorted(mass, t, "right")), 1)
+        if k < len(at):
+            share = (t - mass[k - 1]) / max(mass[k] - mass[k - 1], 1)
+            parent = int(at[k - 1]) + int(share * (at[k] - at[k - 1]))
+            word = int(np.interp(share * word_mass[-1], word_mass, words)) if at[k] - at[k - 1] == 1 else 0
+            out.add(parent * trie.words + min(word, trie.words - 1))
+    return np.array(sorted(out), dtype=U64)
+
+
 def first_level(docs: DataFrame, folder: str, buckets: int) -> Trie:
+    """Level 1 of the texts in ``docs`` (text)."""
+
+    def hashes(some):
+        return tokens([t.encode() for t in some.column(0).to_pylist()])[0]
+
     def build(t: pa.Table) -> pa.Table:
         keys, counts = merged(t)
         path = f"{folder}/1-{t.column('bucket')[0].as_py():05d}-{uuid.uuid4().hex}.ef"
         publish(path, to_file([Sequence.of(keys - keys[0]).parts(), Sequence.of(np.concatenate([[U64(0)], np.cumsum(counts, dtype=U64)])).parts()]))
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "path": [path], "n": [len(keys)], "total": pa.array([int(counts.sum())], pa.int64()), "first": pa.array([str(keys[0])])})
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "path": [path], "n": [len(keys)], "mass": pa.array([int(counts.sum())], pa.int64()), "first": pa.array([str(keys[0])]), "marks": pa.array([mass_marks(counts)], pa.binary())})
 
-    rows = written(counted(docs, None, 0, buckets).groupBy("bucket").applyInArrow(build, "bucket int, path string, n long, total long, first string"), "lm-words")
-    level, size, total = [], 0, 0
-    for _, path, n, c, first in sorted(tuple(r) for r in rows.collect()):
-        level.append((path, int(first), size))
-        size, total = size + n, total + c
-    return Trie([level], [size], total)
+    cuts = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=U64)
+    got = counted(docs.select("text"), 0, hashes, cuts).groupBy("bucket").applyInArrow(build, "bucket int, path string, n long, mass long, first string, marks binary")
+    level, marks, size, total = [], [], 0, 0
+    for r in sorted(written(got, "lm-words").collect(), key=lambda r: r.bucket):
+        level.append((r.path, int(r.first), size, {}))
+        marks.append((bytes(r.marks), size, total))
+        size, total = size + r.n, total + r.mass
+    return Trie([level], [size], [joined_marks(marks)], total)
 
 
-def next_level(docs: DataFrame, trie: Trie, folder: str, buckets: int) -> Trie:
+def next_level(rows: DataFrame, trie: Trie, folder: str, buckets: int) -> Trie:
+    """``trie`` and its next level, from the training ``rows`` (ids, and chain: the ids of the n-grams of the last level that end at each token)."""
     level, m = len(trie.levels), trie.words
+    of_words, of_chain = Ids(m), Ids(trie.sizes[-1])
 
-    def keep(t: pa.Table) -> pa.Table:
-        keys, counts = merged(t)
-        keep = counts >= LEAST
-        keys, counts = keys[keep], counts[keep]
-        marks = keys[np.linspace(0, len(keys) - 1, min(len(keys), 64)).astype(np.int64)] if len(keys) else keys
-        return pa.table({"keys": pa.array([squeeze(keys)], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary()), "n": [len(keys)], "marks": pa.array([marks.astype("<u8").tobytes()], pa.binary())})
-
-    kept = written(counted(docs, trie, level, buckets).groupBy("bucket").applyInArrow(keep, "keys binary, counts binary, n long, marks binary"), "lm-kept")
-    marks, n = [], 0
-    for r in kept.select("n", "marks").collect():  # at most 64 keys a bucket
-        own = np.frombuffer(bytes(r.marks), "<u8")
-        marks.append((own, np.full(len(own), r.n / max(len(own), 1))))
-        n += r.n
-    if not n:
-        return Trie([*trie.levels, []], [*trie.sizes, 0], trie.total)
-    points, weights = (np.concatenate(x) for x in zip(*marks))
-    order = np.argsort(points, kind="stable")
-    points, share = points[order], np.cumsum(weights[order])
-    cuts = np.unique(points[np.searchsorted(share, share[-1] * np.arange(1, buckets) / buckets)]) if buckets > 1 else points[:0]
-    split = np.unique(cuts // U64(m))  # parents whose children may lie in several segments
-
-    def deal(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = unsqueeze(k), unsqueeze(c)
-                at = np.concatenate([[0], np.searchsorted(keys, cuts, "left"), [len(keys)]])
-                rows = [(s, squeeze(keys[a:b]), squeeze(counts[a:b])) for s, (a, b) in enumerate(zip(at, at[1:])) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "keys", "counts"])
-
-    def sums(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = unsqueeze(k), unsqueeze(c)
-                a, b = (np.searchsorted(keys, p, "left") for p in (split * U64(m), (split + U64(1)) * U64(m)))
-                total = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-                yield pa.RecordBatch.from_arrays([pa.array(split.view(np.int64)), pa.array(b - a), pa.array(total[b] - total[a])], names=["parent", "n", "c"])
-
-    blocks = kept.where("n > 0").select("keys", "counts")
-    shared = {}
-    if len(split):
-        shared = {r.parent: (r.n, r.c) for r in blocks.mapInArrow(sums, "parent long, n long, c long").groupBy("parent").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()}
+    def keys_of(some):
+        word, lengths = of_words.unpack(some.column(0))
+        chain = of_chain.unpack(some.column(1))[0]
+        parent = before(chain, np.cumsum(lengths) - lengths)
+        ok = parent >= 0
+        return packed(parent[ok], word[ok], m, trie.sizes[-1])
 
     def build(t: pa.Table) -> pa.Table:
         keys, counts = merged(t)
-        parent, word = keys // U64(m), keys % U64(m)
-        parents, first, children = np.unique(parent, return_index=True, return_counts=True)
-        of = np.repeat(np.arange(len(parents)), children)
-        mass = np.add.reduceat(counts.astype(np.float64), first)
-        number = children.astype(np.float64)
-        for i in np.flatnonzero(np.isin(parents, split)).tolist():
-            number[i], mass[i] = shared[int(parents[i])]
-        context = trie.counts(level - 1, parents.astype(np.int64))
-        weight = np.maximum(1 - (mass - DISCOUNT * number) / context, 1e-9)
-        if level == 1:
-            lower = through(lambda i: trie.unigram(trie.counts(0, i)), word.astype(np.int64))
-        else:  # the n-gram without its first word is in the level above, or its probability backs off there
-            suffix = trie.last_words(level - 1, parents.astype(np.int64))[of]
-            ids, p, back = through(lambda k: trie.children(1, k), packed(suffix, word.astype(np.int64), m, trie.sizes[0]))
-            lower = np.where(ids >= 0, p, back + through(lambda i: trie.unigram(trie.counts(0, i)), word.astype(np.int64)))
-        p = np.log10((counts - DISCOUNT) / context[of] + weight[of] * 10.0**lower)
+        parent = keys // U64(m)
+        first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+        number = np.diff(np.append(first, len(keys)))
+        parents, mass = parent[first], np.add.reduceat(counts.astype(np.float64), first)
+        word = keys - parent * U64(m)
+        last = word[np.append(first[1:], len(keys)) - 1]
+        base = np.concatenate([[U64(0)], np.cumsum(last, dtype=U64)[:-1]])
+        p = np.log10((counts - DISCOUNT) / np.repeat(mass, number))
         path = f"{folder}/{level + 1}-{t.column('bucket')[0].as_py():05d}-{uuid.uuid4().hex}.ef"
-        running = np.concatenate([[U64(0)], np.cumsum(counts, dtype=U64)])
-        pointers = np.append(first, len(keys)).astype(U64)
-        publish(path, to_file([Sequence.of(parents).parts(), Sequence.of(running).parts(), Sequence.of(of.astype(U64) * U64(m) + word).parts(), Sequence.of(pointers).parts(), Codes.of(p), Codes.of(np.log10(weight))]))
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "path": [path], "n": [len(keys)], "first": [str(keys[0])], "last": [str(keys[-1])]})
-
-    rows = written(blocks.mapInArrow(deal, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(build, "bucket int, path string, n long, first string, last string"), "lm-level")
-    own, size, before = [], 0, -1
-    for _, path, k, first, last in sorted(tuple(r) for r in rows.collect()):
+        publish(path, to_file([Sequence.of(parents).parts(), Sequence.of(np.append(first, len(keys)).astype(U64)).parts(), Sequence.of(np.repeat(base, number) + word).parts(), Codes.of(p), Codes.of(np.log10(DISCOUNT * number / mass))]))
+        ends = [(str(parents[i]), int(i % len(parents)), int(number[i]), int(mass[i])) for i in (0, -1)]
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "path": [path], "n": [len(keys)], "mass": pa.array([int(counts.sum())], pa.int64()), "first": [str(keys[0])], "marks": pa.array([mass_marks(counts)], pa.binary())} | {f"{x}_{y}": [v] for x, e in zip("ab", ends) for y, v in zip(("parent", "row", "n", "mass"), e)})
+
+    schema = "bucket int, path string, n long, mass long, first string, marks binary, " + ", ".join(f"{x}_parent string, {x}_row long, {x}_n long, {x}_mass long" for x in "ab")
+    got = counted(rows.select("ids", "chain"), 0, keys_of, key_cuts(trie, level, buckets)).groupBy("bucket").applyInArrow(build, schema)
+    held = sorted(written(got, "lm-level").collect(), key=lambda r: r.bucket)
+    shared: dict[str, list[int]] = {}  # contexts at the ends of segments: segments, children, mass
+    for r in held:
+        for parent, n, mass in {(r.a_parent, r.a_n, r.a_mass), (r.b_parent, r.b_n, r.b_mass)}:
+            one = shared.setdefault(parent, [0, 0, 0])
+            one[:] = one[0] + 1, one[1] + n, one[2] + mass
+    own, marks, size, total, last = [], [], 0, 0, ""
+    for r in held:
+        fixes = {}
+        for parent, row, mass in ((r.a_parent, r.a_row, r.a_mass), (r.b_parent, r.b_row, r.b_mass)):
+            segments, children, of_all = shared[parent]
+            if segments > 1:
+                fixes[row] = (float(np.log10(mass / of_all)), float(np.log10(DISCOUNT * children / of_all)))
         # A segment answers for its first parent from word 0, unless that parent began in the segment before.
-        begins = int(first) // m
-        own.append((path, int(first) if begins == before else begins * m, size))
-        size, before = size + k, int(last) // m
-    return Trie([*trie.levels, own], [*trie.sizes, size], trie.total)
+        own.append((r.path, int(r.first) if r.a_parent == last else int(r.a_parent) * m, size, fixes))
+        marks.append((bytes(r.marks), size, total))
+        size, total, last = size + r.n, total + r.mass, r.b_parent
+    return Trie([*trie.levels, own], [*trie.sizes, size], [*trie.marks, joined_marks(marks)], trie.total)
 
 
-def fit(docs: DataFrame, order: int = 3, buckets: int | None = None) -> Trie:
-    """A model of the texts in ``docs`` (text, never null)."""
-    if not 1 <= order <= 3:
-        raise ValueError("order is 1, 2 or 3")
-    spark = docs.sparkSession
-    folder, n = shared_dir(spark, "lm"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trie = first_level(docs, folder, n)
-    while len(trie.levels) < order:
-        trie = next_level(docs, trie, folder, n) if trie.sizes[-1] else Trie([*trie.levels, []], [*trie.sizes, 0], trie.total)
-    return trie
+def with_ids(docs: DataFrame, trie: Trie) -> DataFrame:
+    """doc_id, train, ids, chain (the same ids) of ``docs`` (doc_id, train, text)."""
+    kind = Ids(trie.words)
+
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, 2, 4_000_000):
+                hashes, lengths = tokens([t.encode() for t in some.column(2).to_pylist()])
+                ids = kind.pack(through(trie.ids, hashes), lengths)
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(1), ids, ids], names=["doc_id", "train", "ids", "chain"])
 
+    return docs.select("doc_id", "train", "text").mapInArrow(run, "doc_id long, train boolean, ids binary, chain binary")
 
-def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of ``docs`` (doc_id, text)."""
+
+def deeper(rows: DataFrame, trie: Trie) -> DataFrame:
+    """``rows`` with ``chain`` one level longer: the ids at the trie's last level; earlier chains stay as chain2, chain3, ..."""
+    level = len(trie.levels) - 1
+    of_words, of_chain, of_next = Ids(trie.words), Ids(trie.sizes[level - 1]), Ids(trie.sizes[level])
+    schema = rows.schema if level == 1 else T.StructType([*rows.schema.fields, T.StructField(f"chain{level}", T.BinaryType())])
+    names = schema.names
 
     def run(batches):
         for batch in batches:
-            for some in slices(batch, 1):
-                hashes, lengths = tokens([t.encode() for t in some.column(1).to_pylist()])
-                walk = Walk(trie, hashes, lengths, True)
-                for level in range(1, len(trie.levels)):
-                    if trie.sizes[level]:
-                        walk.deeper(level)
-                first = np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((walk.word >= 0).astype(np.int64), first)), pa.array(np.add.reduceat(walk.base, first)), pa.array(np.add.reduceat(walk.p, first))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            for some in slices(batch, 2, 8_000_000):
+                word, lengths = of_words.unpack(some.column(2))
+                chain = of_chain.unpack(some.column(3))[0]
+                parent = before(chain, np.cumsum(lengths) - lengths)
+                at = np.flatnonzero((parent >= 0) & (word >= 0))
+                out = np.full(len(word), -1, np.int64)
+                (out[at],) = through(lambda k: trie.children(level, k, False), packed(parent[at], word[at], trie.words, trie.sizes[level - 1]))
+                columns = [*some.columns, some.column(3)] if level > 1 else list(some.columns)
+                columns[3] = of_next.pack(out, lengths)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, order: int = 3, bucket_bytes: int = 32 << 20) -> tuple[Trie, DataFrame]:
+    """A model of the texts in ``docs`` (doc_id, train, text, never null) whose ``train`` holds, and the ids that ``score`` reads."""
+    spark = docs.sparkSession
+    folder = shared_dir(spark, "lm")
+    size = docs.where("train").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    trie = first_level(docs.where("train"), folder, buckets)
+    rows = written(with_ids(docs, trie), "lm-ids")
+    while len(trie.levels) < order and trie.sizes[-1]:
+        if len(trie.levels) > 1:
+            rows = written(deeper(rows, trie), "lm-chain")
+        trie = next_level(rows.where("train"), trie, folder, buckets)
+    return trie, rows
+
+
+def score(rows: DataFrame, trie: Trie) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of the ``rows`` that ``fit`` returned."""
+    top = len(trie.levels) - 1
+    kinds = [Ids(n) for n in trie.sizes]
+    names = rows.columns
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, 2, 8_000_000):
+                word, lengths = kinds[0].unpack(some.column(2))
+                first = np.cumsum(lengths) - lengths
+                base = through(trie.unigrams, word)
+                p, chain = base, word
+                for level in range(1, top + 1):
+                    if not trie.sizes[level]:
+                        break
+                    parent = before(chain, first)
+                    if level < top:  # the ids of this level are there
+                        chain = kinds[level].unpack(some.column(3 if level == top - 1 else names.index(f"chain{level + 1}")))[0]
+                        own, back = through(lambda i: trie.probabilities(level, i), chain), through(lambda i: trie.weights(level, i), parent)
+                    else:
+                        own, back = np.full(len(word), -np.inf), np.zeros(len(word))
+                        at, lost = np.flatnonzero((parent >= 0) & (word >= 0)), np.flatnonzero((parent >= 0) & (word < 0))
+                        _, own[at], back[at] = through(lambda k: trie.children(level, k), packed(parent[at], word[at], trie.words, trie.sizes[level - 1]))
+                        back[lost] = through(lambda i: trie.weights(level, i), parent[lost])
+                    p = np.where(np.isinf(own), back + p, np.log10(10.0**own + 10.0 ** (back + p)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((word >= 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(p, first))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op1_ngram_trie(spark, sf_dir: str) -> DataFrame:
     docs = texts(table(spark, sf_dir, "documents"))
     held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(10)) == 0
-    trie = fit(docs.where(~held_out))
-    return score(docs, trie).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")
+    trie, rows = fit(docs.withColumn("train", ~held_out))
+    return score(rows, trie).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")

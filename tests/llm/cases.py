@@ -13,7 +13,7 @@ def texts(seed=5, n=60):
     rnd = random.Random(seed)
     vocabulary = [word(rnd) for _ in range(120)]
     out = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(5, 90))) for _ in range(n)]
-    out += [out[0], out[0], out[1] + " extra", "", "   \n\t ", "A", "a b c", "İstanbul ΣΑΣ ﬁn", "tab\tand\x0bother\x0cspace\x1cx\x85y z", "12345 67890", "🙂 emoji 🙂", " ".join(rnd.choice(vocabulary) for _ in range(20000))]
+    out += [out[0], out[0], out[1] + " extra", "", "   \n\t ", "A", "a b c", "İstanbul ΣΑΣ ﬁn", "tab\tand\x0bother\x0cspace\x1cx\x85y z", "12345 67890", "🙂 emoji 🙂", "see <|endoftext|> here <|STARTOFTEXT|>", " ".join(rnd.choice(vocabulary) for _ in range(20000))]
     return out
 
 

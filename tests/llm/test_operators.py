@@ -275,6 +275,80 @@ def test_languages_are_told_apart(spark):
     assert far[2] and far[1] < model.limit
 
 
+def test_words_that_polynomial_hashes_confuse():
+    from mediaframe.llm.ngram_lm import tokens
+
+    a = ["a"]
+    for _ in range(10):  # a Thue-Morse word and its complement collide in every polynomial hash modulo 2^64
+        a += ["b" if x == "a" else "a" for x in a]
+    one, two = "".join(a), "".join("b" if x == "a" else "a" for x in a)
+    rnd = random.Random(4)
+    many = list({"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 80))) for _ in range(20000)})
+    h, n = tokens([f"{one} {two}".encode(), " ".join(many).encode(), b"", b" x "])
+    assert n.tolist() == [3, len(many) + 1, 1, 2]
+    assert h[0] != h[1] and len(set(h[3 : 3 + len(many)].tolist())) == len(many)
+    assert h[2] == h[-4] == h[-3] == h[-1] == 0
+
+
+def test_trie_segments_share_contexts(spark):
+    """A context whose children span several segments scores as one in a single segment; longer orders too."""
+    from mediaframe.llm import ngram_lm as N
+
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(i, True, " ".join(x for _ in range(rnd.randrange(1, 60)) for x in ("the", rnd.choice(vocabulary)))) for i in range(80)] + [(99, False, "the unseen the w1 w2 the")]
+    docs = spark.createDataFrame(rows, "doc_id long, train boolean, text string")
+    got = {}
+    for buckets, order in ((1, 3), (9, 3), (1, 4), (7, 4)):
+        spark.conf.set("spark.sql.shuffle.partitions", buckets)
+        try:
+            trie, ids = N.fit(docs, order)
+            got[buckets, order] = {r.doc_id: r.score for r in N.score(ids, trie).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        if buckets == 9:
+            assert len(trie.levels[1]) > 5 and any(s[3] for s in trie.levels[1])
+            words, p = trie.continuations(1, int(trie.ids(np.sort(N.tokens([b"the"])[0][:1]))[0]))
+            assert len(words) == len(set(words.tolist())) == 300 and (p < 0).all()
+    for order, a, b in ((3, 1, 9), (4, 1, 7)):
+        assert all(abs(got[a, order][k] - got[b, order][k]) < 0.012 * (len(t.split()) + 1) for k, _, t in rows)
+
+
+def test_small_bit_depths_and_damaged_files(spark):
+    import struct
+
+    from mediaframe.llm import tiff as T
+
+    rows = np.packbits(np.array([[1, 0, 1, 1, 0, 0, 0, 1, 1, 0], [0, 1, 1, 0, 1, 0, 1, 0, 0, 1]], np.uint8), axis=1).tobytes()
+    tags = {256: (4, 10), 257: (4, 2), 258: (3, 1), 259: (3, 1), 262: (3, 1), 273: (4, 8), 277: (3, 1), 278: (4, 2), 279: (4, len(rows))}
+    data = b"II*\0" + struct.pack("<I", 8 + len(rows)) + rows + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, (k, v) in tags.items()) + b"\0\0\0\0"
+    (page,) = T.pages(data)
+    assert list(page["pixels"]) == [1, 0, 1, 1, 0, 0, 0, 1, 1, 0, 0, 1, 1, 0, 1, 0, 1, 0, 0, 1]
+    media = spark.createDataFrame([(1, 20, bytearray(data)), (2, 5, bytearray(b"II*\0junk")), (3, 9, bytearray(data[:20]))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in T.page_digests(media).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 20
+    assert got[2].error and got[3].error and got[3].payload_bytes == 0
+    assert {r.doc_id: r.error is None for r in T.read_pages(media).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_packing_deals_related_documents_together(spark):
+    from mediaframe.llm import packing as P
+
+    rnd = random.Random(8)
+    common = [f"{a}{b}" for a in ("the", "of", "and", "to", "in") for b in ("", "r", "n", "s")]
+    # 40 topics of 12 documents, scattered over the input; each topic has its own words.
+    topics = [[f"{x}{y}" for x in rnd.sample(["zor", "quim", "blag", "vexo", "jint", "plur", "drox", "wisk"], 3) for y in (f"{k:02d}ka", f"{k:02d}lu")] for k in range(40)]
+    rows = [(i * 40 + k, " ".join(rnd.choice(common) if rnd.random() < 0.7 else rnd.choice(topics[k]) for _ in range(120))) for i in range(12) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = P.pack(docs, P.word_tokenizer(), window=2048, shard_ids=10_000).collect()
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, []).append((r.doc_id % 40, r.length))
+    full = [v for v in by_sequence.values() if sum(n for _, n in v) == 2048]
+    share = np.mean([max(sum(n for k, n in v if k == t) for t, _ in v) / 2048 for v in full])
+    assert share > 0.5  # by chance: under 0.2
+
+
 def test_packing_prefers_neighbours():
     from mediaframe.llm import packing as P
 
