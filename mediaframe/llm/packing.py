@@ -1,15 +1,18 @@
 """Lexical retrieval packing: documents that share rare tokens go into the same training sequence.
 
-Each input partition is cut into index shards of about ``shard_ids`` token ids. A shard has a BM25
-inverted index over its documents; a seed document opens a window, the index returns its best unused
-neighbours, and they fill the window greedily in order of score. The document that crosses the end
+Texts are encoded once and their ids written, with how many documents have each id (its document frequency), over all documents. Documents are then
+dealt in the order of their rarest ids that other documents have too: documents that share them, near copies above all, come to
+stand together, whatever file they came from. The range partitions of that order are cut into index shards of about ``shard_ids`` ids.
+
+A shard has a BM25 inverted index over its documents, with the document frequencies and the mean length of the whole corpus; a seed document
+opens a window, the index returns its best unused neighbours, and they fill the window greedily in order of score. The query of a seed
+are all its token ids that another document has, so every document of the shard with one of them is scored. The document that crosses the end
 of the window is cut there, and its rest seeds the next window. When no unused document shares a
-query term, the next unused one in input order follows. The last, partial window of a shard is cut into pieces whose
-lengths are powers of two, so nothing is padded. Shards never leave their task: no shuffle, no group
-of copies is gathered, and a task holds one shard's ids at a time.
+query term, the next unused one in order follows. The last, partial window of a shard is cut into pieces whose
+lengths are powers of two, so nothing is padded. A task holds one shard's ids at a time; copies, however many, are dealt to
+as many ranges as they need.
 
-The query of a seed are all its token ids that another document of the shard has, so every document with one of them
-is scored.
+What a shard cannot give: neighbours that share no rare id with the seed and stand in other shards.
 
 Edge cases: a null text is empty (its end id alone is packed); null and repeated ids keep their rows;
 ties in score go to the earlier document; a text longer than a window spans several; an empty table gives no rows.
@@ -22,8 +25,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import slices, table, texts, written
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -31,7 +35,8 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 class Bm25:
     """Inverted index of one shard: postings by term, with the BM25 weight of each posting."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], df: np.ndarray | None = None, n_docs: int = 0, mean: float = 0.0, k1: float = 1.2, b: float = 0.75):
+        """``df``, ``n_docs`` and ``mean`` (length) are the corpus's; without them, those of ``docs``."""
         n = len(docs)
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         term = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
@@ -45,14 +50,15 @@ class Bm25:
         term, self.doc = np.divmod(key[at], n) if n else (term, doc)
         self.terms = int(term[-1]) + 1 if len(term) else 0
         self.first = np.searchsorted(term, np.arange(self.terms + 1))
-        df = np.diff(self.first)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * lengths / max(lengths.mean() if n else 1.0, 1.0))
+        own = np.diff(self.first)
+        of_all, n_docs, mean = (own, n, lengths.mean() if n else 1.0) if df is None else (df[: self.terms], n_docs, mean)
+        idf = np.log1p((n_docs - of_all + 0.5) / (of_all + 0.5))
+        norm = k1 * (1 - b + b * lengths / max(mean, 1.0))
         self.weight = idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])
         by_doc = np.argsort(self.doc, kind="stable")
         self.of_doc = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.doc_terms = term[by_doc]
-        self.n, self.df = n, df
+        self.n, self.df = n, own
 
     def query(self, seed: int) -> np.ndarray:
         """Score of every document of the shard for all terms of the seed that another document has too."""
@@ -64,10 +70,10 @@ class Bm25:
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int = 4096):
-    """Pieces (document, start, length, sequence, offset) of a shard and its number of sequences."""
+def pack_shard(docs: list[np.ndarray], window: int = 4096, *corpus):
+    """Pieces (document, start, length, sequence, offset) of a shard and its number of sequences. ``corpus``: what ``Bm25`` takes."""
     n = len(docs)
-    index = Bm25(docs)
+    index = Bm25(docs, *corpus)
     used, size, todo = np.zeros(n, dtype=bool), [len(d) for d in docs], 0
     pieces, sequence, filled = [], 0, 0
     queue: list[int] = []  # best unused neighbours of the window's seed, best last
@@ -120,39 +126,103 @@ def pack_shard(docs: list[np.ndarray], window: int = 4096):
     return pieces, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, window: int = 4096, shard_ids: int = 1_500_000) -> DataFrame:
+def width(tokenizer: str, end: int) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, tokenizer: str, kind: str, end: int, stored: str) -> tuple[DataFrame, np.ndarray, int, int]:
+    """doc_id, ids (``width`` bytes each) of ``docs`` (doc_id, text), written; document frequency of every id, documents, ids in all."""
+
+    def run(batches):
+        from .tokens import encoder
+
+        encode_texts, df = encoder(tokenizer, kind), np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for some in slices(batch, 1, rows=256):
+                got = encode_texts(some.column(1).to_pylist(), end)
+                flat = np.concatenate(got).astype(np.int64)
+                # An id counts once a document: of equal ids in a row of (id, document) keys the first.
+                key = np.sort(flat * len(got) + np.repeat(np.arange(len(got)), [len(x) for x in got]))
+                own = np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] // len(got))
+                if len(own) > len(df):
+                    df = np.pad(df, (0, 2 * len(own) - len(df)))
+                df[: len(own)] += own
+                ids = pa.array([x.astype(stored).tobytes() for x in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), ids, pa.array([len(x) for x in got], pa.int64()), pa.nulls(len(got), pa.binary())], names=["doc_id", "ids", "n", "df"])
+        used = np.flatnonzero(df).astype("<i8")
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([np.stack([used, df[used]]).tobytes()], pa.binary())], names=["doc_id", "ids", "n", "df"])
+
+    def spread(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                own = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], names=["id", "docs"])
+
+    rows = written(docs.mapInArrow(run, "doc_id long, ids binary, n long, df binary"), "packing-ids")
+    counts = rows.where("df is not null").select("df").mapInArrow(spread, "id long, docs long").groupBy("id").agg(F.sum("docs").alias("docs")).collect()  # at most one row per id of the vocabulary
+    df = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
+    for r in counts:
+        df[r.id] = r.docs
+    held = rows.where("df is null")
+    n, ids = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return held.select("doc_id", "ids", "n"), df, n, ids
+
+
+def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, window: int = 4096, shard_ids: int = 1_500_000, rarest: int = 4) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text). ``sequence_id``: the partition in the high bits, a counter in the low 36."""
+    stored = width(tokenizer, end)
+    held, df, n_docs, n_ids = encoded(docs, tokenizer, kind, end, stored)
+    mean = n_ids / max(n_docs, 1)
+    # Rank of every id from the rarest that two documents have; an id of one document alone, and the end, tie nothing.
+    usable = np.flatnonzero((df > 1) & (np.arange(len(df)) != end))
+    rank = np.full(len(df), 1 << 31, np.int64)
+    rank[usable[np.argsort(df[usable], kind="stable")]] = np.arange(len(usable))
+
+    def place(batches):
+        for batch in batches:
+            for some in slices(batch, 1, 8_000_000):
+                ids = [np.frombuffer(x, stored) for x in some.column(1).to_pylist()]
+                marks = np.full((len(ids), rarest), 1 << 31, np.int64)
+                for i, x in enumerate(ids):
+                    own = np.unique(rank[x])[:rarest]
+                    marks[i, : len(own)] = own
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([m.tobytes() for m in marks.astype(">u4")], pa.binary())], names=["doc_id", "ids", "n", "mark"])
 
     def run(batches):
         from pyspark import TaskContext
 
-        from .tokens import encoder
-
-        encode_texts, base = encoder(tokenizer, kind), TaskContext.get().partitionId() << 36
-        keys, held, total = [], [], 0
+        base = TaskContext.get().partitionId() << 36
+        keys, own, total = [], [], 0
 
         def flush():
-            nonlocal keys, held, total, base
-            pieces, sequences = pack_shard(held, window)
+            nonlocal keys, own, total, base
+            pieces, sequences = pack_shard(own, window, df, n_docs, mean)
             rows = np.array(pieces, dtype=np.int64).reshape(-1, 5)
-            crc = [zlib.crc32(held[d][s : s + k]) for d, s, k, _, _ in pieces]
-            out = {"doc_id": pa.array([keys[d] for d in rows[:, 0].tolist()], pa.int64()), "start": rows[:, 1], "length": rows[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array([len(held[d]) for d in rows[:, 0].tolist()], pa.int64()), "sequence_id": rows[:, 3] + base, "offset": rows[:, 4]}
-            keys, held, total, base = [], [], 0, base + sequences
+            crc = [zlib.crc32(own[d][s : s + k]) for d, s, k, _, _ in pieces]
+            out = {"doc_id": pa.array([keys[d] for d in rows[:, 0].tolist()], pa.int64()), "start": rows[:, 1], "length": rows[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array([len(own[d]) for d in rows[:, 0].tolist()], pa.int64()), "sequence_id": rows[:, 3] + base, "offset": rows[:, 4]}
+            keys, own, total, base = [], [], 0, base + sequences
             return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                got = encode_texts(some.column(1).to_pylist(), end)
-                keys += some.column(0).to_pylist()
-                held += got
-                total += sum(map(len, got))
+            keys_of, ids_of = batch.column(0).to_pylist(), batch.column(1)
+            for key, x in zip(keys_of, ids_of):
+                keys.append(key)
+                own.append(np.frombuffer(x.as_py(), stored).astype("<u4"))
+                total += len(own[-1])
                 if total >= shard_ids:
                     yield flush()
         if keys:
             yield flush()
 
-    return docs.mapInArrow(run, OUT)
+    tasks = max(1, min(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_ids // shard_ids), n_ids // (8 * shard_ids))
+    # The last columns split what has the same rarest ids, copies of one text for example, at any number of rows.
+    order = ["mark", F.xxhash64("ids"), F.xxhash64("doc_id")]
+    placed = written(held.mapInArrow(place, "doc_id long, ids binary, n long, mark binary"), "packing-order")
+    dealt = placed.repartitionByRange(int(tasks), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return dealt.mapInArrow(run, OUT)
 
 
 def op10_bm25_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

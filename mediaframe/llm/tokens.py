@@ -3,13 +3,14 @@
 Both tokenizers split a text into pieces and encode every piece by itself, so a piece's ids never
 depend on its neighbours. Texts whose characters are all in U+0020..U+007E, U+00A1..U+00FF or are a tab, line
 feed or carriage return are cut with an equivalent pattern and each new piece goes through the
-library's own model; any other text is encoded by the library as a whole.
+library's own model; any other text is encoded by the library as a whole, and so is one that may hold the string of
+a special token, which the library's plain call encodes as that token's id. With ``ordinary`` such strings are text like any other.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -32,11 +33,14 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """Texts -> ids. Pieces seen before come from a table, emptied at ``most`` entries: that bounds a worker's memory and changes no result."""
 
-    def __init__(self, path: str, kind: str, most: int = 500_000):
+    def __init__(self, path: str, kind: str, ordinary: bool = False, most: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = ordinary
+        special = [] if ordinary else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        # What all special strings begin with, up to their first letter; without such a beginning no text is known to be free of them.
+        self.special = re.match(r"[^\w\s]*", os.path.commonprefix(special))[0] if special else None
         self.lower, self.cut, self.most = kind == "word", PIECES[kind].findall, most
         self.known: dict[str, bytes] = {}
         self.single = Tokenizer(self.whole.model)  # the same model over pieces that are cut already
@@ -61,7 +65,7 @@ class Encoder:
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text and the end id, as unsigned 32-bit integers."""
         last = np.array([end], dtype="<u4").tobytes()
-        plain = [PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [(self.special is None or self.special not in t) and PLAIN.fullmatch(t) is not None for t in texts]
         found = [self.cut(t.lower() if self.lower else t) if p else None for t, p in zip(texts, plain)]
         pieces = set().union(*(f for f in found if f))
         if new := [p for p in pieces if p not in self.known]:
@@ -72,11 +76,11 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, f)) + last, dtype="<u4") if p else np.array(self.whole.encode(t, add_special_tokens=False).ids + [end], dtype="<u4") for t, p, f in zip(texts, plain, found)]
 
 
-_made: dict[tuple[str, str], Encoder] = {}
+_made: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, ordinary: bool = False) -> Encoder:
     """One encoder for each Python worker; it lives as long as the worker does."""
-    if (path, kind) not in _made:
-        _made[path, kind] = Encoder(path, kind)
-    return _made[path, kind]
+    if (path, kind, ordinary) not in _made:
+        _made[path, kind, ordinary] = Encoder(path, kind, ordinary)
+    return _made[path, kind, ordinary]
