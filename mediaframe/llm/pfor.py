@@ -20,10 +20,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, publish, shared_dir, table, texts
+from .common import filesystem, publish, shared_dir, slices, table, texts
 
 BLOCK, LANE, MAGIC = 256, 64, b"PFORIDS1"
 
@@ -154,8 +154,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte",
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in slices(batch, 1, rows=128):
                 got = encode_texts(some.column(1).to_pylist(), end)
                 keys += some.column(0).to_pylist()
                 held += got
@@ -171,15 +170,15 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte",
 def read_ids(manifest: DataFrame) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files alone.
 
-    The driver holds one row per file (a file has about 4 million ids), nothing per document.
+    A file's first place comes from running sums: of the partitions before it on the driver (one number a partition), and of the
+    files before it in its partition on the cluster.
     """
-    spark = manifest.sparkSession
-    rows, base, files = sorted(tuple(r) for r in manifest.collect()), 0, []
-    for _, _, path, _, n in rows:
-        files.append((path, base))
+    spark, base, bases = manifest.sparkSession, 0, []
+    for part, n, files in sorted(tuple(r) for r in manifest.groupBy("part").agg(F.sum("ids"), F.count("*")).collect()):
+        bases.append((part, base, files))
         base += n
     out = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files:
+    if not bases:
         return spark.createDataFrame([], out)
 
     def run(batches):
@@ -197,7 +196,10 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                     crc = [zlib.crc32(got[s - zero : e - zero].tobytes()) for s, e in zip(starts[a:z].tolist(), ends[a:z].tolist())]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(held.doc_ids[a:z], pa.int64()), "start": starts[a:z] + first, "n_tokens": lengths[a:z], "ids_crc32": pa.array(crc, pa.int64())})
 
-    return spark.createDataFrame(files, "path string, base long").repartition(min(len(files), 4096)).mapInArrow(run, out)
+    of_parts = spark.createDataFrame([b[:2] for b in bases], "part int, base long")
+    earlier = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.withColumn("earlier", earlier).join(of_parts, "part").select("path", (F.col("base") + F.col("earlier")).alias("base"))
+    return files.repartition(min(sum(b[2] for b in bases), 4096)).mapInArrow(run, out)
 
 
 def op3_pfor_ids(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
