@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, texts
+from .common import slices, table, texts
 
 # Fixed values of the format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -201,25 +201,33 @@ def pages(data: bytes):
         d = Directory(data, at, order, big)
         width, height, samples, bits = d.one(WIDTH), d.one(HEIGHT), d.one(SAMPLES, 1), d.one(BITS, 1)
         how, predictor, planar = d.one(COMPRESSION, 1), d.one(PREDICTOR, 1), d.one(PLANAR, 1)
-        if bits not in (8, 16, 32, 64) or len(set(d.tags.get(BITS, (bits,)))) > 1 or predictor not in (1, 2, 3) or how not in DECODERS:
+        if bits not in (1, 2, 4, 8, 16, 32, 64) or bits < 8 and predictor != 1 or len(set(d.tags.get(BITS, (bits,)))) > 1 or predictor not in (1, 2, 3) or how not in DECODERS:
             raise ValueError(f"not read: {bits} bits, compression {how}, predictor {predictor}")
         tiled = TILE_OFFSETS in d.tags
         bw, bh = (d.one(TILE_WIDTH), d.one(TILE_HEIGHT)) if tiled else (width, min(d.one(ROWS_PER_STRIP, height), height))
         offsets, sizes = (d.tags[t] for t in ((TILE_OFFSETS, TILE_BYTES) if tiled else (STRIP_OFFSETS, STRIP_BYTES)))
         across, down = -(-width // bw), -(-height // bh)
         per, layers = (1, samples) if planar == 2 else (samples, 1)
-        out = np.zeros((height, width, samples), f"<u{bits // 8}")
+        out = np.zeros((height, width, samples), f"<u{max(bits // 8, 1)}")
         for layer in range(layers):
             for k in range(across * down):
                 j = layer * across * down + k
                 y, x = k // across * bh, k % across * bw
                 rows = bh if tiled else min(bh, height - y)
-                got = undo(DECODERS[how](data[offsets[j] : offsets[j] + sizes[j]]), rows, bw, per, bits, predictor, order)
+                raw = DECODERS[how](data[offsets[j] : offsets[j] + sizes[j]])
+                got = undo(raw, rows, bw, per, bits, predictor, order) if bits >= 8 else small(raw, rows, bw, per, bits)
                 out[y : y + bh, x : x + bw, layer * per : (layer + 1) * per] = got[: height - y, : width - x]
         yield {"width": width, "height": height, "samples": samples, "bits": bits, "compression": how, "predictor": predictor, "pixels": out.tobytes()}
         at = d.next
 
 
+def small(raw: bytes, rows: int, width: int, samples: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, first ones in the high bits, rows padded to whole bytes; a sample becomes a byte of its value."""
+    stride = -(-width * samples * bits // 8)
+    each = np.unpackbits(np.frombuffer(raw, np.uint8, rows * stride).reshape(rows, stride), axis=1)[:, : width * samples * bits]
+    return (each.reshape(rows, width, samples, bits) * (1 << np.arange(bits)[::-1])).sum(axis=3).astype(np.uint8)
+
+
 def tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip_rows: int = 340) -> bytes:
     """A classic little-endian file with one page per (height, width, samples) array of 8-bit samples, in strips."""
     out, patch = bytearray(struct.pack("<2sHI", b"II", 42, 0)), 4
@@ -254,19 +262,25 @@ def tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor: int =
 
 
 def read_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page of the files in ``media_col``: id, page, geometry, pixels, error; and the file's size and sha256."""
+    """One row per page of the files in ``media_col``: id, page, geometry, pixels, error; and the file's size and sha256.
+
+    A damaged file gives the pages before the damage and one row with the error.
+    """
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                rows = []
+            for some in slices(batch, 1, rows=64):
+                rows, held = [], 0
                 for key, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     own = {"doc_id": key, "media_bytes": None if data is None else len(data), "media_sha256": None if data is None else hashlib.sha256(data).hexdigest()}
                     page = 0
                     try:
                         for page, got in enumerate(pages(data or b""), 1):
                             rows.append(own | {"page": page - 1, "error": None} | got)
+                            held += len(got["pixels"])
+                            if held > 64_000_000:  # pages may be far larger than the files
+                                yield pa.RecordBatch.from_pylist(rows, schema=PAGE)
+                                rows, held = [], 0
                     except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
                         rows.append(own | {"page": page, "error": str(e)})
                 yield pa.RecordBatch.from_pylist(rows, schema=PAGE)
@@ -283,8 +297,7 @@ def text_images(docs: DataFrame, width: int = 64, samples: int = 3) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in slices(batch, 1, rows=128):
                 raws = [t.encode() for t in some.column(1).to_pylist()]
                 media = []
                 for raw in raws:
@@ -296,7 +309,7 @@ def text_images(docs: DataFrame, width: int = 64, samples: int = 3) -> DataFrame
 
 
 def feature(pixels: bytes, height: int, width: int, samples: int) -> str:
-    """Size, mean and spread of the samples, and 64 bits of brighter-than-its-neighbour over an 8 x 9 grid of row blocks."""
+    """Size, mean and spread of the samples, and 64 bits of brighter-than-its-neighbour over 72 samples at even distances, taken as 8 rows of 9."""
     got = np.frombuffer(pixels, np.uint8)
     grid = got[np.linspace(0, len(got) - 1, 72).astype(np.int64)].reshape(8, 9)
     bits = int.from_bytes(np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes(), "big")
@@ -309,18 +322,22 @@ def op2_tiff_pages(spark, sf_dir: str) -> DataFrame:
 
 
 def page_digests(media: DataFrame) -> DataFrame:
-    """Per file (doc_id, n_bytes, media): digests of all its pages' pixels and of the file. A damaged file fails the job."""
+    """Per file (doc_id, n_bytes, media): digests of all its pages' pixels and of the file. A damaged file has its error, and the digests of the pages before the damage."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for some in slices(batch, 2, rows=64):
                 keys, sizes, files = (some.column(k).to_pylist() for k in range(3))
                 rows = []
                 for key, n, data in zip(keys, sizes, files):
-                    got = list(pages(data))
+                    got, error = [], None
+                    try:
+                        for page in pages(data):
+                            got.append(page)
+                    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                        error = str(e)
                     payload = b"".join(p["pixels"] for p in got)
-                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), ";".join(feature(p["pixels"], p["height"], p["width"], p["samples"]) for p in got)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), ";".join(feature(p["pixels"], p["height"], p["width"], p["samples"]) for p in got), error))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
