@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections import OrderedDict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, publish, shared_dir, table, texts
+from .common import filesystem, publish, shared_dir, slices, table, texts
 
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(rb"[^ ]+")
@@ -123,25 +124,19 @@ class Automaton:
 
 
 def build(items: DataFrame, folder: str, window: int, batch_bytes: int = 4_000_000) -> list[str]:
-    """Automata of the items (item_id, text) as files; the driver holds one batch of items at a time."""
-    paths, held, size = [], [], 0
-
-    def flush():
-        nonlocal held, size
-        publish(path := f"{folder}/{len(paths):05d}.automaton", pickle.dumps(Automaton(held, window), protocol=5))
-        paths.append(path)
-        held, size = [], 0
-
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    for name, text in rows.toLocalIterator():
-        raw = text.encode()
-        held.append((name, words(raw)))
-        size += len(raw)
-        if size >= batch_bytes:
-            flush()
-    if held:
-        flush()
-    return paths
+    """Automata of the items (item_id, text) as files, each of a batch of items dealt by hash and built in a task of its own; the driver gets their paths."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    batches = max(1, -(-size // batch_bytes))
+
+    def one(t: pa.Table) -> pa.Table:
+        held = [(name, words(text.encode())) for name, text in zip(t.column("item").to_pylist(), t.column("text").to_pylist())]
+        path = f"{folder}/{uuid.uuid4().hex}.automaton"
+        publish(path, pickle.dumps(Automaton(held, window), protocol=5))
+        return pa.table({"path": [path]})
+
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("item", "text"), F.lit(batches)))
+    return sorted(r.path for r in dealt.groupBy("batch").applyInArrow(one, "path string").collect())
 
 
 _loaded: OrderedDict[str, Automaton] = OrderedDict()
@@ -182,14 +177,19 @@ def scan_texts(raws: list[bytes], paths: list[str]):
     return [(len(w), s, n) for w, s, n in zip(cut, spans, items)]
 
 
+def part_bytes(paths: list[str]) -> int:
+    """Bytes of text that a task holds while the automata pass over them: the more automata are loaded by turns, the more texts each one serves."""
+    return 2_000_000 if len(paths) <= 1 else 64_000_000
+
+
 def overlaps(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids) and spans of hit words [start, end) for ``docs`` (doc_id, text)."""
     paths = build(items, shared_dir(docs.sparkSession, "automata"), window)
+    share = part_bytes(paths)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in slices(batch, 1, share):
                 got = scan_texts([t.encode() for t in some.column(1).to_pylist()], paths)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -221,13 +221,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage:
     Clean rows are returned as they are. ``length_col``, if there, follows the new text.
     """
     paths = build(items, shared_dir(docs.sparkSession, "automata"), window)
+    share = part_bytes(paths)
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
+            for some in slices(batch, at, share):
                 old = some.column(at).to_pylist()
                 raws = [(t or "").encode() for t in old]
                 got = scan_texts(raws, paths)
