@@ -1,6 +1,6 @@
 """Near copies: wide SimHash fingerprints through vantage-point trees propose them, exact Jaccard similarity of word shingles decides.
 
-Each text is a set of ``shingle``-word shingles (XXH64); texts with the same set are one node. A node's wide fingerprint is
+Each text is a set of ``shingle``-word shingles (64-bit hashes); texts with the same set are one node. A node's wide fingerprint is
 ``WORDS`` independent 64-bit SimHashes of its words, weighted by 1 + ln(count). Every word of the fingerprint is searched through
 vantage-point trees as in ``simhash`` (``bits`` or fewer differing), and what they find must also agree in all but ``wide_bits`` of all
 bits. The groups so tied are compared by the sets themselves, and only pairs of similarity ``least`` or more are linked.
@@ -19,7 +19,6 @@ null ids take part, but a component of null ids alone has a null id; an empty ta
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +26,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
+from .ngram_lm import tokens
 from .simhash import SEED, Sets, classes_of, components, near_links
 
 U64 = np.uint64
 WORDS = 8
 
 
-def shingles(text: str, shingle: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; words as for SimHash."""
-    from xxhash import xxh64_intdigest
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> U64(30)) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> U64(27)) * U64(0x94D049BB133111EB)
+    return x ^ x >> U64(31)
+
+
+def word_hashes(held: list[str]) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words (A-Z lower-cased, split at U+0020 and U+0009-000D), in order."""
+    h, n = tokens([t.encode() for t in held])
+    ends = np.cumsum(n)
+    return [h[e - k : e - 1] for e, k in zip(ends.tolist(), n.tolist())]
 
-    w = text.encode().lower().split()
-    if not w:
-        return np.zeros(0, U64)
-    if len(w) <= shingle:
-        return np.array([xxh64_intdigest(b" ".join(w), SEED)], U64)
-    return np.unique(np.array([xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(w[k:] for k in range(shingle)))], U64))
+
+def shingles(words: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text's word hashes."""
+    n = max(len(words) - shingle + 1, 1)
+    out = np.zeros(n if len(words) else 0, U64)
+    for k in range(min(shingle, len(words))):
+        out = mixed(out * U64(0x9E3779B97F4A7C15) + words[k : k + n] + U64(k + 1))
+    return np.unique(out)
 
 
 def node(own: np.ndarray) -> int:
@@ -52,23 +62,17 @@ def node(own: np.ndarray) -> int:
     return int(np.array([xxh64_intdigest(own.tobytes(), SEED)], U64).view(np.int64)[0])
 
 
-def wide_fingerprint(text: str) -> np.ndarray:
+def wide_fingerprint(words: np.ndarray) -> np.ndarray:
     """``WORDS`` words of 64 bits; zero for a wordless text."""
-    from xxhash import xxh64_intdigest
-
-    counts = Counter(text.encode().lower().split())
-    if not counts:
+    if not len(words):
         return np.zeros(WORDS, U64)
-    weight = 1 + np.log(np.array(list(counts.values()), dtype=np.float64))
-    h = np.array([xxh64_intdigest(w, SEED) for w in counts], U64)
+    h, counts = np.unique(words, return_counts=True)
+    weight = (1 + np.log(counts)).astype(np.float32)
     total, step = np.zeros(64 * WORDS), 1 << 12
     for at in range(0, len(h), step):
-        x = h[at : at + step, None] ^ (U64(0x9E3779B97F4A7C15) * np.arange(1, WORDS + 1, dtype=U64))
-        x = (x ^ x >> U64(30)) * U64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> U64(27)) * U64(0x94D049BB133111EB)
-        x ^= x >> U64(31)
-        total += weight[at : at + step] @ np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), -1), axis=1)
-    return np.packbits(total * 2 > weight.sum()).view(">u8").astype(U64)
+        x = mixed(h[at : at + step, None] ^ (U64(0x9E3779B97F4A7C15) * np.arange(1, WORDS + 1, dtype=U64)))
+        total += weight[at : at + step] @ np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).astype(np.float32)
+    return np.packbits(total * 2 > weight.sum(dtype=np.float64)).view("<u8").astype(U64)
 
 
 def links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -122,15 +126,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits:
     def mark(batches):
         for batch in batches:
             for some in slices(batch, 1):
-                held = some.column(1).to_pylist()
-                sets = [shingles(t, shingle) for t in held]
-                wide = [wide_fingerprint(t).astype("<u8").tobytes() for t in held]
+                words = word_hashes(some.column(1).to_pylist())
+                sets = [shingles(w, shingle) for w in words]
+                wide = [wide_fingerprint(w).astype("<u8").tobytes() for w in words]
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary())], names=["doc_id", "node", "size", "wide"])
 
     def nodes(batches):
         for batch in batches:
             for some in slices(batch, 0):
-                got = [shingles(t, shingle) for t in some.column(0).to_pylist()]
+                got = [shingles(w, shingle) for w in word_hashes(some.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "own"])
 
     def compare(t: pa.Table) -> pa.Table:
