@@ -90,6 +90,11 @@ def iou(a: Column, b: Column) -> Column:
     return both / (box_area(a) + box_area(b) - both)
 
 
+def iou_any(box: Column, anchors: Column, least: float) -> Column:
+    """Whether a box has an overlap of ``least`` with one of an array of boxes."""
+    return F.exists(anchors, lambda a: iou(box, a) >= least)
+
+
 def nested(inner: Column, outer: Column, slack: int = 2) -> Column:
     return (inner["x0"] >= outer["x0"] - slack) & (inner["y0"] >= outer["y0"] - slack) & (inner["x1"] <= outer["x1"] + slack) & (inner["y1"] <= outer["y1"] + slack)
 
@@ -139,3 +144,31 @@ def cer(a: Column, ref: Column, ascii_only: bool = False) -> Column:
     """Edit distance over the reference's length, without punctuation and spaces (``ascii_only``: letters a-z and digits alone)."""
     norm = (lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")) if ascii_only else normalise
     return F.levenshtein(norm(a), norm(ref)) / F.greatest(F.lit(1), F.length(norm(ref)))
+
+
+def ink_change(now: Column, before: Column, width: int, height: int, box: tuple[Column, ...], levels: float = 40) -> Column:
+    """Share (4 decimals) of a box's pixels (x, y, w, h as shares of the frame, outward to whole pixels) whose grey moved by more than ``levels``; 0 for an empty box. ``now`` and ``before``: flat grey pictures."""
+    x, y, w, h = box
+    x0, y0 = F.greatest(F.lit(0), F.floor(x * width)), F.greatest(F.lit(0), F.floor(y * height))
+    x1, y1 = F.least(F.lit(width), F.ceil((x + w) * width)), F.least(F.lit(height), F.ceil((y + h) * height))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: (i % width >= x0) & (i % width < x1) & (F.floor(i / width) >= y0) & (F.floor(i / width) < y1))
+    moved = F.filter(inside, lambda i: F.abs(F.get(now, i) - F.get(before, i)) > levels)
+    return F.coalesce(F.round(F.try_divide(F.size(moved), F.size(inside)), 4), F.lit(0.0))
+
+
+# sRGB primaries and the D65 white of CIE XYZ, and CIE Lab.
+XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+WHITE = (0.95047, 1.0, 1.08883)
+
+
+def lab(rgb: Column) -> list[Column]:
+    """L, a, b of an 8-bit colour (struct r, g, b)."""
+    linear = [F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, 2.4)).otherwise(v / 12.92) for v in (rgb[c] / 255.0 for c in "rgb")]
+    x, y, z = (sum(w * v for w, v in zip(row, linear)) / white for row, white in zip(XYZ, WHITE))
+    x, y, z = (F.when(v > (6 / 29) ** 3, F.pow(v, 1 / 3)).otherwise(v * (841 / 108) + 4 / 29) for v in (x, y, z))
+    return [116 * y - 16, 500 * (x - y), 200 * (y - z)]
+
+
+def colour_difference(a: Column, b: Column) -> Column:
+    """Distance of two 8-bit colours in Lab."""
+    return F.sqrt(sum((p - q) * (p - q) for p, q in zip(lab(a), lab(b))))

@@ -3,7 +3,8 @@
 A fold is a Python function over a group's rows in order. Groups are dealt by their key and sorted in the
 shuffle; a task walks its sorted rows in Arrow batches and calls the function at each change of key, so many small groups cost
 no more than one and a task holds one group at a time (as lists; the functions keep a few numbers of state each).
-All of them are linear but the merge loops of small span lists.
+Linear in a group's rows, but for `repeats_of`, `merge_near`, `greedy_match` and `scene_merge`, which compare with what they keep (few by nature: original states,
+items, cuts, scenes), and `repeat_runs`, which takes a run's median anew for each row.
 """
 
 from __future__ import annotations
@@ -127,6 +128,48 @@ def repeats_of(rows: list[tuple], same: Callable) -> list[tuple]:
     return out
 
 
+def difference_bits(values, width: int) -> int:
+    """Bits of right > left along the rows of a flat picture, the first bit lowest."""
+    import numpy as np
+
+    grid = np.asarray(values, dtype=np.float64).reshape(-1, width)
+    return int.from_bytes(np.packbits((grid[:, 1:] > grid[:, :-1]).reshape(-1), bitorder="little").tobytes(), "little")
+
+
+def repeats_by_hash(rows: list[tuple], hash_of: Callable, bits: int, same: Callable, size: int = 56) -> list[tuple]:
+    """(key, item) -> (key, original or None): the first earlier original whose hash differs in ``bits`` or fewer of ``size`` bits and that is ``same``.
+
+    Two such hashes agree on one of bits + 1 bands, by which the originals are looked up.
+    """
+    step = -(-size // (bits + 1))
+    bands: dict[tuple[int, int], list[int]] = {}
+    originals, out = [], []
+    for key, item in rows:
+        h = hash_of(item)
+        own = [(k, h >> (k * step) & ((1 << step) - 1)) for k in range(bits + 1)]
+        near = sorted({n for b in own for n in bands.get(b, ())})
+        hit = next((originals[n][0] for n in near if (originals[n][1] ^ h).bit_count() <= bits and same(originals[n][2], item)), None)
+        if hit is None:
+            for b in own:
+                bands.setdefault(b, []).append(len(originals))
+            originals.append((key, h, item))
+        out.append((key, hit))
+    return out
+
+
+def details(rows: list[tuple], low: Callable, high: Callable, low_most: float, high_least: float) -> list[tuple]:
+    """(key, given, item) in order -> (key, change or None): given keyframes stay; a candidate is added if it differs from the last kept by less than ``low_most`` in ``low`` and by ``high_least`` or more in ``high``."""
+    out, last = [], None
+    for key, given, item in rows:
+        if given:
+            out.append((key, None))
+            last = item
+        elif last is not None and low(last, item) < low_most and (change := high(last, item)) >= high_least:
+            out.append((key, change))
+            last = item
+    return out
+
+
 def budget(rows: list[tuple], most: int, distance: Callable) -> list[tuple]:
     """(key, droppable, item) -> (key,) kept: while there are more than ``most``, the droppable row with the smallest change from its predecessor goes (earliest on ties), and its successor's change is taken anew."""
     n = len(rows)

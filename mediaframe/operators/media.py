@@ -63,9 +63,38 @@ def motion_features(frames: DataFrame, pix: int = 8, chunk: int = 128) -> DataFr
 
 
 def hop_energy(pcm: DataFrame, hop: int = 160) -> DataFrame:
-    """video_id, hop, energy, n from pcm rows (video_id, start_sample, samples); hops that straddle rows are summed."""
-    at = pcm.select("video_id", "start_sample", F.posexplode("samples").alias("i", "x"))
-    return at.groupBy("video_id", F.floor((F.col("start_sample") + F.col("i")) / hop).alias("hop")).agg(F.sum(F.col("x").cast("double") * F.col("x")).alias("energy"), F.count("*").alias("n"))
+    """video_id, hop, energy, n from pcm rows (video_id, start_sample, samples); hops that straddle rows are summed.
+
+    A row gives one value for each hop it touches, summed over slices of its array, so samples never become rows.
+    """
+    first, n = F.col("start_sample"), F.size("samples")
+    touched = F.sequence(F.floor(first / hop), F.floor((first + n - 1) / hop))
+
+    def part(h):
+        a, b = F.greatest(h * hop, first) - first, F.least((h + 1) * hop, first + n) - first
+        own = F.slice("samples", (a + 1).cast("int"), (b - a).cast("int"))
+        return F.struct(h.alias("hop"), F.aggregate(own, F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("energy"), (b - a).alias("n"))
+
+    rows = pcm.where(n > 0).select("video_id", F.inline(F.transform(touched, part)))
+    return rows.groupBy("video_id", "hop").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n"))
+
+
+def time_centroids(frames: DataFrame) -> DataFrame:
+    """video_id, pixel, t_us: per pixel the mean time of its changes, weighted by their size; pixels that never change have no row."""
+    lists = frames.select("video_id", "t_us", "frame_index", F.transform(F.sequence(F.lit(1), F.octet_length("pixels")), lambda i: F.conv(F.hex(F.substr("pixels", i, F.lit(1))), 16, 10).cast("int")).alias("p"))
+    rows = lists.withColumn("q", F.lag("p").over(Window.partitionBy("video_id").orderBy("frame_index"))).where("q is not null")
+    each = rows.select("video_id", "t_us", F.posexplode(F.zip_with("p", "q", lambda x, y: F.abs(x - y))).alias("pixel", "d"))
+    return each.groupBy("video_id", "pixel").agg(F.sum(F.col("d").cast("double") * F.col("t_us")).alias("_t"), F.sum("d").alias("_d")).where("_d > 0").select("video_id", "pixel", (F.col("_t") / F.col("_d")).alias("t_us"))
+
+
+def dark_frames(frames: DataFrame, level: float = 24) -> DataFrame:
+    """video_id, frame_index, dark: whether 95 % of the grey levels are below ``level``."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"video_id": pdf["video_id"], "frame_index": pdf["frame_index"], "dark": [P.near_black(image(r), level) for r in pdf.itertuples(index=False)]})
+
+    return frames.select("video_id", "frame_index", "h", "w", "channels", "pixels").mapInPandas(run, "video_id string, frame_index bigint, dark boolean")
 
 
 def flux(pcm: DataFrame, size: int = 512, hop: int = 80) -> DataFrame:

@@ -41,6 +41,11 @@ def session_summary(df: DataFrame, by: list[str], t: str, measure: str, size: st
     return df.groupBy(*by, name).agg(F.min(t).alias("first_us"), F.max(t).alias("last_us"), F.count("*").alias("n"), F.max(measure).alias("peak"), F.max(size).alias("blob"))
 
 
+def session_boxes(df: DataFrame, by: list[str], box: str, name: str = "session") -> DataFrame:
+    """The union of the boxes (x0, y0, x1, y1) of each session."""
+    return df.groupBy(*by, name).agg(F.struct(F.min(f"{box}.x0").alias("x0"), F.min(f"{box}.y0").alias("y0"), F.max(f"{box}.x1").alias("x1"), F.max(f"{box}.y1").alias("y1")).alias(box))
+
+
 def event_class(peak: Column, blob: Column, area: float, noise: float = 16, subtle: float = 32, faint: float = 0.002, micro: float = 0.0005) -> Column:
     """noise, subtle, micro or motion, by the largest difference and the largest blob's share of the picture."""
     return F.when((peak < noise) | ((peak < subtle) & (blob < faint * area)), "noise").when(peak < subtle, "subtle").when(blob < micro * area, "micro").otherwise("motion")

@@ -31,7 +31,7 @@ def sentences(df: DataFrame, keys: list[str], order: str, word: str) -> DataFram
 
 
 def fuzzy_ratio(a: str, b: str, changed: float | None = None, most: float = 0.005) -> float:
-    """Matching-block ratio of normalised texts; 1.0 if equal, 0.0 if their digits differ or the picture changed. Two cheap upper bounds come first."""
+    """Matching-block ratio of normalised texts if it is 0.8 or more; 1.0 if equal, 0.0 if it is less, their digits differ or the picture changed. Two cheap upper bounds come first."""
     import re
     from difflib import SequenceMatcher
 
@@ -42,7 +42,8 @@ def fuzzy_ratio(a: str, b: str, changed: float | None = None, most: float = 0.00
     if re.sub(r"\D", "", x) != re.sub(r"\D", "", y) or (changed is not None and changed >= most):
         return 0.0
     m = SequenceMatcher(None, x, y, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 else 0.0
+    ratio = m.ratio() if m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 else 0.0
+    return ratio if ratio >= 0.8 else 0.0
 
 
 def fuzzy(a: Column, b: Column) -> Column:

@@ -79,6 +79,16 @@ def evictions(items: DataFrame, size: str, used: str, tie: str, removable: str,
     return rows.join(F.broadcast(total)).where(F.col("_total") - F.col("_before") > cap).drop("_before", "_total")  # one row: the total
 
 
+def expired(items: DataFrame, used: str, removable: str, before: float) -> DataFrame:
+    """Removable items last used before the time ``before``."""
+    return items.where(F.col(removable) & (F.col(used) < before))
+
+
+def listing(items: DataFrame, by: list[str], size: str, used: str) -> DataFrame:
+    """Entries, bytes and last use of each part of a cache."""
+    return items.groupBy(*by).agg(F.count("*").alias("entries"), F.sum(F.col(size).cast("bigint")).alias("bytes"), F.max(used).alias("used"))
+
+
 def first_source(status: DataFrame, by: list[str], source: str, priority: str, failed: str) -> DataFrame:
     """The source of best priority that did not fail; an empty result still wins."""
     return status.where(~F.col(failed)).groupBy(*by).agg(F.min_by(source, priority).alias("source"))

@@ -97,13 +97,11 @@ def selection(text: str) -> list:
 
 
 def roi(text: str, width: int, height: int) -> tuple[int, int, int, int]:
-    """``x,y,w,h`` in pixels or as shares of the frame."""
-    v = [float(x) for x in text.split(",")]
-    if len(v) != 4:
-        raise UserError(f"not a region: {text}")
-    if all(x <= 1 for x in v):
-        v = [v[0] * width, v[1] * height, v[2] * width, v[3] * height]
-    x, y, w, h = (round(z) for z in v)
+    """``x,y,w,h`` in pixels, rounded."""
+    try:
+        x, y, w, h = (round(float(v)) for v in text.split(","))
+    except ValueError:
+        raise UserError(f"not a region: {text}") from None
     if w <= 0 or h <= 0 or x < 0 or y < 0 or x + w > width or y + h > height:
         raise UserError(f"outside the frame: {text}")
     return x, y, w, h

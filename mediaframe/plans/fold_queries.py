@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds as O
 from .base import EV, HOUR, MIN, events, table
-from .series_queries import visual
+from .series_queries import VISUAL, visual
 
 QUERIES, SQL = {}, {}
 
@@ -69,7 +69,14 @@ def minor_lines(spark, d):
     return O.fold(events(spark, d), ["user_id"], ["t_us", "event_id"], ["event_id", "t_us", "event_type"], lambda rows: O.minor_lines(rows, 24 * HOUR, minor), "event_id bigint, line bigint").drop("user_id")
 
 
-@query()
+KINDS = "CASE WHEN e2e >= 60 AND n = 1 THEN 'cut' WHEN e2e >= 60 THEN 'transition' WHEN e2e >= 25 THEN 'update' ELSE 'activity' END"
+
+
+@query(f"""WITH RECURSIVE {VISUAL}, k AS (SELECT user_id, run, first_us, last_us, post, round(reverts, 6) AS reverts, {KINDS} AS kind FROM v),
+o AS (SELECT *, row_number() OVER w AS i, lead(first_us) OVER w AS ns, lead(last_us) OVER w AS nl, lead(post) OVER w AS np, lead(reverts) OVER w AS nr FROM k WINDOW w AS (PARTITION BY user_id ORDER BY first_us, run)),
+c AS (SELECT *, coalesce(kind <> 'activity' AND ns - last_us <= {36 * HOUR} AND nr < 5, false) AS pair FROM o),
+f AS (SELECT *, pair AS takes, false AS gone FROM c WHERE i = 1 UNION ALL SELECT c.*, c.pair AND NOT f.takes, f.takes FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1)
+SELECT user_id, first_us, CASE WHEN takes THEN nl ELSE last_us END AS last_us, CASE WHEN takes THEN 'transient' ELSE kind END AS kind, CASE WHEN takes THEN greatest(post, np) ELSE post END AS peak FROM f WHERE NOT gone""")
 def transient_merge(spark, d):
     rows = visual(spark, d).withColumn("reverts", F.round("reverts", 6))
 
@@ -98,16 +105,47 @@ def sample_plan(spark, d):
     return O.fold(thumbs(spark, d), ["label"], ["vec_id"], ["vec_id", "thumb"], lambda rows: O.chosen(rows, changed, 0.5), "vec_id bigint")
 
 
-@query()
+DIFF = "list_avg(list_transform(range(1, 65), lambda q: CASE WHEN abs(CAST({a}[q] AS DOUBLE) - CAST({b}[q] AS DOUBLE)) > {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT vec_id, vec_id * {MIN} AS t, CAST(vec_id // 100 AS INTEGER) AS video, label AS shot, vec_id % 3 = 0 AS settled, vec_id % 7 = 0 AS peak, embedding AS th, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS i FROM embeddings),
+f AS (SELECT video, i, vec_id, t AS kt, shot AS ks, th AS kth, false AS ps, 'first' AS reason FROM o WHERE i = 1 UNION ALL
+SELECT video, i, vec_id, CASE WHEN reason IS NULL THEN kt ELSE t END, CASE WHEN reason IS NULL THEN ks ELSE shot END, CASE WHEN reason IS NULL THEN kth ELSE th END, reason IS NULL AND ps, reason FROM
+(SELECT video, i, vec_id, t, shot, th, kt, ks, kth, ps, CASE WHEN shot <> ks THEN 'shot' WHEN ch >= 0.5 AND (settled OR t - kt >= {3 * MIN}) THEN 'change' WHEN settled AND ps AND ch >= 0.2 THEN 'peak' END AS reason FROM
+(SELECT o.*, f.kt, f.ks, f.kth, f.ps OR o.peak AS ps, {DIFF.format(a='o.th', b='f.kth', c='0.1')} AS ch FROM f JOIN o ON o.video = f.video AND o.i = f.i + 1) x) y)
+SELECT video, vec_id, reason FROM f WHERE reason IS NOT NULL""")
 def keyframe_walk(spark, d):
     rows = thumbs(spark, d).select("vec_id", (F.col("vec_id") * MIN).alias("t_us"), F.lit(0).alias("video"), F.col("label").alias("shot"), (F.col("vec_id") % 3 == 0).alias("settled"), (F.col("vec_id") % 7 == 0).alias("peak"), "thumb")
     rows = rows.withColumn("video", F.floor(F.col("vec_id") / 100).cast("int"))
     return O.fold(rows, ["video"], ["vec_id"], ["vec_id", "t_us", "shot", "settled", "peak", "thumb"], lambda r: O.keyframes(r, changed, 0.5, 0.2, 3 * MIN), "vec_id bigint, reason string")
 
 
-@query()
+NEAR = """nt AS (SELECT e.vec_id, b.label, list_transform(range(1, 65), lambda i: CAST(b.embedding[i] AS DOUBLE) + CASE WHEN i = e.vec_id % 64 + 1 THEN 0.02::DOUBLE * (e.vec_id % 4) ELSE 0.0::DOUBLE END) AS th FROM embeddings e JOIN embeddings b ON b.vec_id = e.vec_id - e.vec_id % 4),
+nh AS (SELECT *, CAST(list_sum(list_transform(list_filter(range(0, 63), lambda i: i % 8 < 7), lambda i: CASE WHEN th[i + 2] > th[i + 1] THEN 1::BIGINT << CAST(i - i // 8 AS INT) ELSE 0 END)) AS BIGINT) AS h FROM nt)"""
+
+
+def near_thumbs(spark, d):
+    """Pictures in fours: each the first of its four with one pixel raised by a fiftieth for each place."""
+    base = thumbs(spark, d)
+    own = base.select("vec_id", (F.col("vec_id") - F.col("vec_id") % 4).alias("first"))
+    met = own.join(base.withColumnsRenamed({"vec_id": "first"}), "first")
+    raised = F.transform("thumb", lambda x, i: x + F.when(i == F.col("vec_id") % 64, F.lit(0.02) * (F.col("vec_id") % 4)).otherwise(F.lit(0.0)))
+    return met.select("vec_id", "label", raised.alias("thumb"))
+
+
+@query(f"""WITH RECURSIVE {NEAR}, pr AS (SELECT b.vec_id, list(a.vec_id) AS l FROM nh a JOIN nh b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 4 AND {DIFF.format(a='a.th', b='b.th', c='0.1')} < 0.05 AND {DIFF.format(a='a.th', b='b.th', c='0.05')} < 0.002 GROUP BY b.vec_id),
+o AS (SELECT nh.vec_id, label, coalesce(l, []) AS l, row_number() OVER (PARTITION BY label ORDER BY nh.vec_id) AS i FROM nh LEFT JOIN pr USING (vec_id)),
+f AS (SELECT label, i, vec_id, [vec_id] AS origs, CAST(NULL AS BIGINT) AS hit FROM o WHERE i = 1 UNION ALL SELECT label, i, vec_id, CASE WHEN hit IS NULL THEN list_append(origs, vec_id) ELSE origs END, hit FROM
+(SELECT o.*, f.origs, list_min(list_filter(o.l, lambda x: list_contains(f.origs, x))) AS hit FROM f JOIN o ON o.label = f.label AND o.i = f.i + 1) z)
+SELECT label, vec_id, coalesce(hit, -1) AS original FROM f""")
 def same_as(spark, d):
-    return O.fold(thumbs(spark, d), ["label"], ["vec_id"], ["vec_id", "thumb"], lambda rows: [(k, -1 if h is None else h) for k, h in O.repeats_of(rows, lambda a, b: far(a, b) < 0.06)], "vec_id bigint, original bigint")
+    """Repeats by hash distance, and pictures that match at both scales."""
+
+    def run(rows):
+        got = O.repeats_by_hash(rows, lambda x: O.difference_bits(x, 8), 4, lambda a, b: changed(a, b) < 0.05 and changed(a, b, 0.05) < 0.002)
+        return [(k, -1 if h is None else h) for k, h in got]
+
+    return O.fold(near_thumbs(spark, d), ["label"], ["vec_id"], ["vec_id", "thumb"], run, "vec_id bigint, original bigint")
 
 
 @query()
@@ -116,7 +154,11 @@ def budget_drop(spark, d):
     return O.fold(rows, ["label"], ["vec_id"], ["vec_id", "free", "thumb"], lambda r: O.budget(r, 12, far), "vec_id bigint")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS i FROM ev),
+f AS (SELECT user_id, i, event_id, event_type AS ty, [value] AS l, 0 AS run FROM o WHERE i = 1 UNION ALL SELECT user_id, i, event_id, event_type, CASE WHEN same THEN list_append(l, value) ELSE [value] END, run + CASE WHEN same THEN 0 ELSE 1 END FROM
+(SELECT o.*, f.l, f.run, o.event_type = f.ty AND abs(o.value - list_median(f.l)) <= 0.8::DOUBLE * list_median(f.l) AS same FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) z),
+k AS (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS n FROM f)
+SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY run) - 1 AS run FROM k WHERE n >= 2""")
 def repeat_runs(spark, d):
     return O.fold(events(spark, d), ["user_id"], ["t_us", "event_id"], ["event_id", "event_type", "value"], lambda rows: O.repeat_runs(rows, 0.8, 2), "event_id bigint, run bigint")
 
@@ -129,7 +171,11 @@ def scene_merge(spark, d):
     return O.fold(spans, ["user_id"], ["start_us", "event_id"], ["start_us", "end_us", "strength"], lambda r: O.scene_merge(r, 6), "start_us bigint, end_us bigint, strength bigint")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, list(struct_pack(i := j, id := event_id, t := t_us) ORDER BY j) AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS j FROM ev WHERE event_type = 'purchase') GROUP BY user_id),
+o AS (SELECT c.user_id, c.event_id, c.t_us, r.r, row_number() OVER (PARTITION BY c.user_id ORDER BY c.t_us, c.event_id) AS i FROM ev c JOIN r ON r.user_id = c.user_id WHERE c.event_type = 'click'),
+z AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS a_id, CAST(NULL AS BIGINT) AS b_id, CAST([] AS BIGINT[]) AS used FROM o WHERE i = 1 UNION ALL SELECT user_id, i, event_id, hit.id, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit.i) END FROM
+(SELECT o.user_id, o.i, o.event_id, z.used, list_sort(list_transform(list_filter(o.r, lambda x: abs(x.t - o.t_us) <= {24 * HOUR} AND NOT list_contains(z.used, x.i)), lambda x: struct_pack(d := abs(x.t - o.t_us), i := x.i, id := x.id)))[1] AS hit FROM z JOIN o ON o.user_id = z.user_id AND o.i = z.i + 1) y)
+SELECT user_id, a_id, b_id FROM z WHERE b_id IS NOT NULL""")
 def cut_match(spark, d):
     """Clicks of each user matched one to one with purchases within a day, in their order."""
     rows = events(spark, d).where("event_type in ('click', 'purchase')")
@@ -141,6 +187,9 @@ def cut_match(spark, d):
     return O.fold(rows, ["user_id"], ["t_us", "event_id"], ["event_id", "t_us", "event_type"], run, "a_id bigint, b_id bigint")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS i FROM ev),
+f AS (SELECT user_id, i, event_id, event_id AS kept_id, [struct_pack(id := event_id, s := t_us, d := k)] AS kept FROM o WHERE i = 1 UNION ALL SELECT user_id, i, event_id, coalesce(hit.id, event_id), CASE WHEN hit IS NULL THEN list_append(kept, struct_pack(id := event_id, s := t_us, d := k)) ELSE kept END FROM
+(SELECT o.*, f.kept, list_filter(f.kept, lambda x: abs(x.s - o.t_us) <= {24 * HOUR} AND abs(x.d - o.k) <= 10)[1] AS hit FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) z)
+SELECT user_id, event_id, kept_id FROM f""")
 def merge_near_items(spark, d):
     return O.fold(events(spark, d), ["user_id"], ["t_us", "event_id"], ["event_id", "t_us", "k"], lambda r: O.merge_near(r, 24 * HOUR, 10), "event_id bigint, kept_id bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["series_queries", "fold_queries", "text_queries", "view_queries"]
+MODULES = ["series_queries", "fold_queries", "text_queries", "view_queries", "state_queries", "media_queries"]
 
 
 def queries() -> dict:

@@ -49,7 +49,7 @@ def test_params_and_grammars():
     assert P.Params().resolved(3600).cell_s == 1.0 and len(p.key()) == 8 and p.key() != P.Params().key()
     assert P.seconds("1:02:03.5") == 3723.5 and P.span("0:10-0:20") == (10, 20) and P.span("3:7") == (3, 7)
     assert P.selection("M01,M03-M05, 1:00-2:00") == ["M01", "M03", "M04", "M05", (60.0, 120.0)]
-    assert P.roi("0.5,0,0.5,1", 200, 100) == (100, 0, 100, 100)
+    assert P.roi("10.4,0,1,1", 200, 100) == (10, 0, 1, 1)
     assert P.clamp(1, 99, 10) == (1, 10)
     for bad in (lambda: P.seconds("x"), lambda: P.span("5-5"), lambda: P.clamp(10, 20, 10), lambda: P.roi("0,0,300,10", 200, 100)):
         with pytest.raises(P.UserError):
