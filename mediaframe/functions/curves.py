@@ -206,6 +206,44 @@ def stalls(t: np.ndarray, v: np.ndarray, found: dict, moved: float = 0.002, expe
     return np.concatenate([[False], (np.abs(np.diff(y)) > expected) & (np.abs(np.diff(v)) / size < moved)])
 
 
+def fit_stalled(t: np.ndarray, v: np.ndarray, passes: int = 3) -> dict:
+    """``fit`` without the samples after stalled steps (a repeated frame shows the old state), until the stalled ones no longer change."""
+    weights = np.ones_like(v)
+    for _ in range(passes):
+        found = fit(t, v, weights)
+        now = np.where(stalls(t, v, found), 0.0, 1.0)
+        if (now == weights).all() or now.sum() < 4:
+            break
+        weights = now
+    return found
+
+
+def shape_ties(found: dict, errors: dict[str, float], near: float = 0.05, factor: float = 1.25) -> tuple[list[str], list[str]]:
+    """Curves that fit within ``factor`` of the best error: those within ``near`` of its shape, and those of another shape."""
+    close = sorted(n for n, e in errors.items() if n != found["curve"] and e <= factor * found["rmse"] + 1e-12)
+    alike = [n for n in close if distance(NAMED[n], found["bezier"]) <= near]
+    return alike, [n for n in close if n not in alike]
+
+
+def start_range(t: np.ndarray, v: np.ndarray, found: dict, points: int = 41) -> tuple[float, float]:
+    """Starts, with the fitted curve and duration, whose error stays within 1.25 times the best and 0.002."""
+    v, w = v - v[0], np.ones_like(v)
+    dt = float(np.median(np.diff(t)))
+    ok = [s for s in found["start"] + np.linspace(-2, 2, points) * dt if residual(cubic_y(found["bezier"], (t - s) / found["duration"]), v, w) <= 1.25 * found["rmse"] + 0.002]
+    return (float(min(ok)), float(max(ok))) if ok else (found["start"], found["start"])
+
+
+def crossing_start(t: np.ndarray, v: np.ndarray, size: float = 0.01, points: int = 5) -> float:
+    """Where a cubic (a quadratic, of four samples or fewer) through the first moving samples leaves 0; the first moving sample's time, if it does not before it."""
+    moving = np.flatnonzero(np.abs(v) > size)
+    if len(moving) < 3:
+        return float(t[moving[0]] if len(moving) else t[0])
+    own = moving[:points]
+    roots = np.roots(np.polyfit(t[own] - t[own[0]], v[own], 3 if len(own) >= 5 else 2))
+    back = [r.real for r in roots if abs(r.imag) < 1e-9 and -4 * float(np.median(np.diff(t))) <= r.real <= 0]
+    return float(t[own[0]] + max(back)) if back else float(t[own[0]])
+
+
 def css(name: str, bezier, duration: float, properties: dict[str, tuple[str, str]]) -> str:
     """A keyframes rule and its animation line."""
     number = lambda x: f"{x:.3f}".rstrip("0").rstrip(".") or "0"

@@ -10,13 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], t: str, tie: str, take: list[str], slack: int = 0) -> DataFrame:
-    """``left`` with the ``take`` columns of the last right row at or before t + slack (prefixed ``right_``), null if none."""
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], t: str, tie: str, take: list[str], slack: int = 0, bucket_us: int | None = None) -> DataFrame:
+    """``left`` with the ``take`` columns of the last right row at or before t + slack (prefixed ``right_``), null if none.
+
+    A group's rows pass one task, unless ``bucket_us`` cuts them: the last right row of the buckets before (one row a bucket) is then carried to each bucket.
+    """
     a = left.select("*", (F.col(t) + slack).alias("_o"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_tie"), F.lit(None).cast(_struct(right, take)).alias("_r"))
     cols = left.columns
     b = right.select(*(F.col(c) if c in by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), F.col(t).alias("_o"), F.lit(0).alias("_side"), F.col(tie).cast("bigint").alias("_tie"), F.struct(*take).alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_o", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    line = a.unionByName(b).withColumn("_r", F.last("_r", True).over(w)).where("_side = 1")
+    line, keys = a.unionByName(b), list(by)
+    if bucket_us:
+        line, keys = line.withColumn("_b", F.floor(F.col("_o") / bucket_us)), [*by, "_b"]
+        ends = line.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, F.struct("_o", "_tie", "_r"))).alias("_e"))
+        before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("_c", F.last("_e", True).over(before)).select(*keys, F.col("_c._r").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_o", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("_r", F.last("_r", True).over(w)).where("_side = 1")
+    if bucket_us:
+        line = line.join(carried, keys, "left").withColumn("_r", F.coalesce("_r", "_c"))
     return line.select(*cols, *(F.col(f"_r.{c}").alias(f"right_{c}") for c in take))
 
 
@@ -81,10 +92,10 @@ def coverage(queries: DataFrame, spans: DataFrame, by: list[str], key: str, buck
     return queries.join(got, [*by, key], "left").select(*by, key, F.coalesce("covered_us", F.lit(0)).alias("covered_us"))
 
 
-def contained(points: DataFrame, spans: DataFrame, by: list[str], t: str, tie: str) -> DataFrame:
+def contained(points: DataFrame, spans: DataFrame, by: list[str], t: str, tie: str, bucket_us: int | None = None) -> DataFrame:
     """``points`` with ``inside``: whether a span [start_us, end_us) of non-overlapping ``spans`` holds them."""
     right = spans.select(*by, F.col("start_us").alias(t), "end_us", F.col("start_us").alias(tie))
-    got = asof_backward(points, right, by, t, tie, ["end_us"])
+    got = asof_backward(points, right, by, t, tie, ["end_us"], bucket_us=bucket_us)
     return got.withColumn("inside", F.coalesce(F.col(t) < F.col("right_end_us"), F.lit(False))).drop("right_end_us")
 
 

@@ -24,20 +24,23 @@ def image(row) -> np.ndarray:
     return a.reshape(row.h, row.w, row.channels) if row.channels > 1 else a.reshape(row.h, row.w)
 
 
-def frame_features(frames: DataFrame, pix: float = 20, chunk: int = 256) -> DataFrame:
-    """video_id, frame_index, t_us, frac, mad: share of changed pixels and mean difference against the frame before, after a blur; 0, 0 for the first."""
+def frame_features(frames: DataFrame, pix: float = 20, chunk: int = 256, thumb: tuple[int, int] | None = None) -> DataFrame:
+    """video_id, frame_index, t_us, frac, mad: share of changed pixels and mean difference against the frame before, after a blur; 0, 0 for the first. With ``thumb`` (height, width) also a small grey picture."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         last, out = None, []
         for r in rows_of(pdf, "frame_index"):
-            now = P.blur(image(r))
+            picture = image(r)
+            now = P.blur(picture)
             if not r._lead:
                 d = None if last is None else np.abs(now - last)
-                out.append((r.video_id, r.frame_index, r.t_us, 0.0 if d is None else float(((d if d.ndim == 2 else d.max(axis=2)) > pix).mean()), 0.0 if d is None else float(d.mean())))
+                small = [P.area_resize(P.grey(picture), *thumb).reshape(-1).tolist()] if thumb else []
+                out.append((r.video_id, r.frame_index, r.t_us, 0.0 if d is None else float(((d if d.ndim == 2 else d.max(axis=2)) > pix).mean()), 0.0 if d is None else float(d.mean()), *small))
             last = now
-        return pd.DataFrame(out, columns=["video_id", "frame_index", "t_us", "frac", "mad"])
+        return pd.DataFrame(out, columns=["video_id", "frame_index", "t_us", "frac", "mad", *(["thumb"] if thumb else [])])
 
-    return chunked(frames, "frame_index", chunk, 1).groupBy("video_id", "_chunk").applyInPandas(run, "video_id string, frame_index bigint, t_us bigint, frac double, mad double")
+    schema = "video_id string, frame_index bigint, t_us bigint, frac double, mad double" + (", thumb array<double>" if thumb else "")
+    return chunked(frames, "frame_index", chunk, 1).groupBy("video_id", "_chunk").applyInPandas(run, schema)
 
 
 def rows_of(pdf: pd.DataFrame, by: str):

@@ -24,6 +24,29 @@ def within(by: list[str], t: str, before: int, after: int) -> Window:
     return Window.partitionBy(*by).orderBy(t).rangeBetween(-before, after)
 
 
+def chunks(df: DataFrame, by: list[str], t: str, tie: str, size: int, half: int) -> DataFrame:
+    """Rows dealt to chunks of ``size`` microseconds (``_chunk``), and, not ``_own``, to the chunks within ``half`` of them; ``_first`` marks a group's first row.
+
+    What looks at most ``half`` around a row is then computed per (group, chunk), so that one long group is work for many tasks.
+    """
+    first = df.groupBy(*by).agg(F.min(F.struct(t, tie)).alias("_f"))
+    rows = df.join(F.broadcast(first), by) if not by else df.join(first, by)
+    rows = rows.withColumn("_first", (F.col(t) == F.col("_f")[t]) & (F.col(tie) == F.col("_f")[tie])).drop("_f")
+    near = F.sequence(F.floor((F.col(t) - half) / size), F.floor((F.col(t) + half) / size))
+    return rows.withColumn("_chunk", F.explode(near)).withColumn("_own", F.col("_chunk") == F.floor(F.col(t) / size))
+
+
+def running_sum(df: DataFrame, order: str, tie: str, value: str, name: str, parts: int = 1024) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each row in the whole table's order: within ``parts`` equal ranges of ``order``, plus the ranges' own running sums (that many rows at most)."""
+    ends = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
+    place = F.floor((F.col(order).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * parts)
+    rows = df.join(F.broadcast(ends)).withColumn("_part", place).drop("_lo", "_hi")  # one row: the ends
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_s"))
+    earlier = sums.withColumn("_e", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_o", own).join(F.broadcast(earlier), "_part").withColumn(name, F.col("_o") + F.col("_e")).drop("_part", "_o", "_e")
+
+
 def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column, name: str) -> DataFrame:
     """Number runs of rows from 0; ``breaks`` is true at a run's first row (the group's first row always begins one)."""
     w = ordered(by, *order)
@@ -85,23 +108,23 @@ def loop_period(df: DataFrame, by: list[str], t: str, tie: str, least: int = 3,
 
 def robust_cuts(df: DataFrame, by: list[str], t: str, tie: str, v: str, least: float, ratio: float, base: float, half: int) -> DataFrame:
     """Rows with ``v`` >= least and >= ratio * max(median of the others within ``half``, base). The group's first row is neither a cut nor a neighbour."""
-    w = ordered(by, t, tie)
-    rows = df.withColumn("_n", F.row_number().over(w))
-    near = F.collect_list(F.struct("_n", v)).over(within(by, t, half, half))
-    others = F.sort_array(F.transform(F.filter(near, lambda x: (x["_n"] != F.col("_n")) & (x["_n"] > 1)), lambda x: x[v]))
-    rows = rows.withColumn("_l", others)
+    rows = chunks(df, by, t, tie, 8 * half, half)
+    near = F.collect_list(F.struct(t, tie, v, "_first")).over(within([*by, "_chunk"], t, half, half))
+    others = F.sort_array(F.transform(F.filter(near, lambda x: ~((x[t] == F.col(t)) & (x[tie] == F.col(tie))) & ~x["_first"]), lambda x: x[v]))
+    rows = rows.withColumn("_l", others).where("_own")
     n = F.size("_l")
     lo, hi = F.get("_l", F.floor((n - 1) / 2).cast("int")), F.get("_l", F.floor(n / 2).cast("int"))
     rows = rows.withColumn("median", F.when(n > 0, (lo + hi) / 2))
-    return rows.where((F.col("_n") > 1) & (F.col(v) >= least) & (F.col(v) >= ratio * F.greatest(F.coalesce("median", F.lit(0.0)), F.lit(base)))).drop("_n", "_l")
+    return rows.where(~F.col("_first") & (F.col(v) >= least) & (F.col(v) >= ratio * F.greatest(F.coalesce("median", F.lit(0.0)), F.lit(base)))).drop("_first", "_chunk", "_own", "_l")
 
 
 def adaptive_peaks(df: DataFrame, by: list[str], t: str, tie: str, v: str, least: float, ratio: float, plus: float, local: int, half: int) -> DataFrame:
     """Local maxima within ``local`` that reach ratio * median within ``half`` (itself included, the group's first row not) + plus."""
-    rows = df.withColumn("_n", F.row_number().over(ordered(by, t, tie)))
-    rows = rows.withColumn("_v", F.when(F.col("_n") > 1, F.col(v)))
-    rows = rows.withColumns({"median": F.percentile("_v", F.lit(0.5)).over(within(by, t, half, half)), "_top": F.max(v).over(within(by, t, local, local))})
-    return rows.where((F.col(v) >= least) & (F.col(v) >= F.col("_top")) & (F.col(v) >= ratio * F.coalesce("median", F.lit(0.0)) + plus)).drop("_n", "_v", "_top")
+    rows = chunks(df, by, t, tie, 8 * max(half, local), max(half, local))
+    rows = rows.withColumn("_v", F.when(~F.col("_first"), F.col(v)))
+    near = [*by, "_chunk"]
+    rows = rows.withColumns({"median": F.percentile("_v", F.lit(0.5)).over(within(near, t, half, half)), "_top": F.max(v).over(within(near, t, local, local))}).where("_own")
+    return rows.where((F.col(v) >= least) & (F.col(v) >= F.col("_top")) & (F.col(v) >= ratio * F.coalesce("median", F.lit(0.0)) + plus)).drop("_first", "_chunk", "_own", "_v", "_top")
 
 
 def flash_peaks(df: DataFrame, by: list[str], t: str, tie: str, v: str, least: float, ratio: float, base: float) -> DataFrame:

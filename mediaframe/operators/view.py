@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof_backward, overlapping
+from .series import running_sum
 
 
 def timeline_rows(parts: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -72,10 +73,9 @@ def first_seen(df: DataFrame, by: list[str], order: list[str], text: str) -> Dat
 
 
 def evictions(items: DataFrame, size: str, used: str, tie: str, removable: str, cap: int) -> DataFrame:
-    """Oldest removable items until the total is at most ``cap``. The running sum is over the (small) listing of a cache."""
+    """Oldest removable items until the total is at most ``cap``."""
     total = items.agg(F.sum(size).alias("_total"))
-    w = Window.partitionBy(F.lit(0)).orderBy(used, tie).rowsBetween(Window.unboundedPreceding, -1)
-    rows = items.where(removable).withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    rows = running_sum(items.where(removable), used, tie, size, "_before")
     return rows.join(F.broadcast(total)).where(F.col("_total") - F.col("_before") > cap).drop("_before", "_total")  # one row: the total
 
 

@@ -34,6 +34,15 @@ class Params:
     peak_s: float = 5.0
     flash_frac: float = 0.2
     update_e2e: float = 0.04
+    transient_gap_s: float = 0.6
+    transient_revert: float = 0.02
+    thumb_pix: float = 20
+    thumb_width: int = 16
+    thumb_height: int = 9
+    key_change: float = 0.06
+    key_low: float = 0.02
+    wait_s: float = 2.0
+    least_pixels: int = 150
     gap_s: float = 0.15
     silence_s: float = 2.0
 

@@ -244,7 +244,7 @@ def xcorr_lag(spark, d):
 @query(f"""WITH {MERGED} SELECT e.event_id, EXISTS (SELECT 1 FROM me WHERE me.event_type = 'error' AND me.start_us <= e.t_us AND e.t_us < me.end_us) AS inside FROM ev e WHERE e.event_type = 'signup'""")
 def containment(spark, d):
     held = J.merge_spans(spans(spark, d).where("event_type = 'error'"), ["event_type"]).select(F.lit(1).alias("one"), "start_us", "end_us")
-    got = J.contained(events(spark, d).where("event_type = 'signup'").withColumn("one", F.lit(1)), held, ["one"], "t_us", "event_id")
+    got = J.contained(events(spark, d).where("event_type = 'signup'").withColumn("one", F.lit(1)), held, ["one"], "t_us", "event_id", 24 * HOUR)
     return got.select("event_id", "inside")
 
 
