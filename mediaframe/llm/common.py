@@ -27,11 +27,22 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read again, and its path."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, tag)
+    df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, tag)[0]
+
+
+def remove(uri: str) -> None:
+    """Delete a table that ``stored`` wrote and that nothing reads any more."""
+    fs, path = filesystem(uri)
+    fs.delete_dir(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc, publish, shared_dir, slices, table, texts, written
+from .common import id_crc, publish, remove, shared_dir, slices, stored, table, texts, written
 from .elias_fano import Sequence, map_file, to_file
 
 U64 = np.uint64
@@ -69,14 +69,18 @@ def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(text, minlength=len(raws)) + 1
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Sorted or small values as differences, byte plane by byte plane, which the shuffle's compression then shortens."""
-    return np.ascontiguousarray(np.diff(values, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def squeeze(values: np.ndarray, ascending: bool = True) -> bytes:
+    """Values (as differences, if ``ascending``), byte plane by byte plane, compressed."""
+    flat = (np.diff(values, prepend=U64(0)) if ascending else values).astype("<u8")
+    planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
-def unsqueeze(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=U64)
+def unsqueeze(raw: bytes, ascending: bool = True) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(raw[8:], 8 * n), np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    return np.cumsum(values, dtype=U64) if ascending else values
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,27 +260,30 @@ def before(chain: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Ids:
-    """Ids per text as bytes: 4 each while they are below 2^32 - 1, else 8; the largest value stands for -1."""
+    """Ids per text as bytes, as many each as values up to ``below`` need; ``below`` itself stands for -1."""
 
     def __init__(self, below: int):
-        self.type = np.dtype("<u4") if below < (1 << 32) - 1 else np.dtype("<u8")
+        self.below, self.width = below, max(1, -(-below.bit_length() // 8))
 
     def pack(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
-        ends = np.concatenate([[0], np.cumsum(lengths)]) * self.type.itemsize
-        return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.astype(self.type).tobytes())]).cast(pa.binary())
+        raw = np.where(ids < 0, self.below, ids).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes()
+        ends = np.concatenate([[0], np.cumsum(lengths)]) * self.width
+        return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
 
     def unpack(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         held = column.to_pylist()
-        got = np.frombuffer(b"".join(held), self.type)
-        ids = np.where(got == np.iinfo(self.type).max, np.int64(-1), got.astype(np.int64))
-        return ids, np.array([len(x) // self.type.itemsize for x in held], np.int64)
+        got = np.frombuffer(b"".join(held), np.uint8).reshape(-1, self.width)
+        wide = np.zeros((len(got), 8), np.uint8)
+        wide[:, : self.width] = got
+        ids = wide.view("<i8").reshape(-1)
+        return np.where(ids == self.below, np.int64(-1), ids), np.array([len(x) // self.width for x in held], np.int64)
 
 
 def blocks(keys: list[np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
     """(bucket, keys, counts): the distinct keys and their counts, sorted, cut at ``cuts``."""
     some, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
     at = np.concatenate([[0], np.searchsorted(some, cuts, "left"), [len(some)]])
-    rows = [(k, squeeze(some[a:b]), squeeze(counts[a:b].astype(U64))) for k, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+    rows = [(k, squeeze(some[a:b]), squeeze(counts[a:b], False)) for k, (a, b) in enumerate(zip(at, at[1:])) if a < b]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "keys", "counts"])
 
 
@@ -299,7 +306,7 @@ def counted(rows: DataFrame, column: int, keys_of, cuts: np.ndarray, flush: int
 
 def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = [unsqueeze(k) for k in t.column("keys").to_pylist()]
-    counts = [unsqueeze(c) for c in t.column("counts").to_pylist()]
+    counts = [unsqueeze(c, False) for c in t.column("counts").to_pylist()]
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -356,13 +363,13 @@ def first_level(docs: DataFrame, folder: str, buckets: int) -> Trie:
 
 
 def next_level(rows: DataFrame, trie: Trie, folder: str, buckets: int) -> Trie:
-    """``trie`` and its next level, from the training ``rows`` (ids, and chain: the ids of the n-grams of the last level that end at each token)."""
+    """``trie`` and its next level, from the training ``rows`` (ids, and from level 2 on chain: the ids of the n-grams of the last level that end at each token)."""
     level, m = len(trie.levels), trie.words
     of_words, of_chain = Ids(m), Ids(trie.sizes[-1])
 
     def keys_of(some):
         word, lengths = of_words.unpack(some.column(0))
-        chain = of_chain.unpack(some.column(1))[0]
+        chain = of_chain.unpack(some.column(1))[0] if level > 1 else word
         parent = before(chain, np.cumsum(lengths) - lengths)
         ok = parent >= 0
         return packed(parent[ok], word[ok], m, trie.sizes[-1])
@@ -383,7 +390,7 @@ def next_level(rows: DataFrame, trie: Trie, folder: str, buckets: int) -> Trie:
         return pa.table({"bucket": t.column("bucket").slice(0, 1), "path": [path], "n": [len(keys)], "mass": pa.array([int(counts.sum())], pa.int64()), "first": [str(keys[0])], "marks": pa.array([mass_marks(counts)], pa.binary())} | {f"{x}_{y}": [v] for x, e in zip("ab", ends) for y, v in zip(("parent", "row", "n", "mass"), e)})
 
     schema = "bucket int, path string, n long, mass long, first string, marks binary, " + ", ".join(f"{x}_parent string, {x}_row long, {x}_n long, {x}_mass long" for x in "ab")
-    got = counted(rows.select("ids", "chain"), 0, keys_of, key_cuts(trie, level, buckets)).groupBy("bucket").applyInArrow(build, schema)
+    got = counted(rows.select("ids", *(["chain"] if level > 1 else [])), 0, keys_of, key_cuts(trie, level, buckets)).groupBy("bucket").applyInArrow(build, schema)
     held = sorted(written(got, "lm-level").collect(), key=lambda r: r.bucket)
     shared: dict[str, list[int]] = {}  # contexts at the ends of segments: segments, children, mass
     for r in held:
@@ -405,7 +412,7 @@ def next_level(rows: DataFrame, trie: Trie, folder: str, buckets: int) -> Trie:
 
 
 def with_ids(docs: DataFrame, trie: Trie) -> DataFrame:
-    """doc_id, train, ids, chain (the same ids) of ``docs`` (doc_id, train, text)."""
+    """doc_id, train, ids of ``docs`` (doc_id, train, text)."""
     kind = Ids(trie.words)
 
     def run(batches):
@@ -413,29 +420,28 @@ def with_ids(docs: DataFrame, trie: Trie) -> DataFrame:
             for some in slices(batch, 2, 4_000_000):
                 hashes, lengths = tokens([t.encode() for t in some.column(2).to_pylist()])
                 ids = kind.pack(through(trie.ids, hashes), lengths)
-                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(1), ids, ids], names=["doc_id", "train", "ids", "chain"])
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(1), ids], names=["doc_id", "train", "ids"])
 
-    return docs.select("doc_id", "train", "text").mapInArrow(run, "doc_id long, train boolean, ids binary, chain binary")
+    return docs.select("doc_id", "train", "text").mapInArrow(run, "doc_id long, train boolean, ids binary")
 
 
 def deeper(rows: DataFrame, trie: Trie) -> DataFrame:
     """``rows`` with ``chain`` one level longer: the ids at the trie's last level; earlier chains stay as chain2, chain3, ..."""
     level = len(trie.levels) - 1
     of_words, of_chain, of_next = Ids(trie.words), Ids(trie.sizes[level - 1]), Ids(trie.sizes[level])
-    schema = rows.schema if level == 1 else T.StructType([*rows.schema.fields, T.StructField(f"chain{level}", T.BinaryType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("chain" if level == 1 else f"chain{level}", T.BinaryType())])
     names = schema.names
 
     def run(batches):
         for batch in batches:
             for some in slices(batch, 2, 8_000_000):
                 word, lengths = of_words.unpack(some.column(2))
-                chain = of_chain.unpack(some.column(3))[0]
+                chain = of_chain.unpack(some.column(3))[0] if level > 1 else word
                 parent = before(chain, np.cumsum(lengths) - lengths)
                 at = np.flatnonzero((parent >= 0) & (word >= 0))
                 out = np.full(len(word), -1, np.int64)
                 (out[at],) = through(lambda k: trie.children(level, k, False), packed(parent[at], word[at], trie.words, trie.sizes[level - 1]))
-                columns = [*some.columns, some.column(3)] if level > 1 else list(some.columns)
-                columns[3] = of_next.pack(out, lengths)
+                columns = [*some.columns[:3], of_next.pack(out, lengths), *some.columns[4:], *some.columns[3:4]]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)
@@ -448,10 +454,11 @@ def fit(docs: DataFrame, order: int = 3, bucket_bytes: int = 32 << 20) -> tuple[
     size = docs.where("train").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     trie = first_level(docs.where("train"), folder, buckets)
-    rows = written(with_ids(docs, trie), "lm-ids")
+    rows, path = stored(with_ids(docs, trie), "lm-ids", "zstd")
     while len(trie.levels) < order and trie.sizes[-1]:
         if len(trie.levels) > 1:
-            rows = written(deeper(rows, trie), "lm-chain")
+            old, (rows, path) = path, stored(deeper(rows, trie), "lm-chain", "zstd")
+            remove(old)  # the new table holds all of it
         trie = next_level(rows.where("train"), trie, folder, buckets)
     return trie, rows
 
