@@ -57,10 +57,13 @@ def stagger_steps(spark, d):
     return s.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.median("step"), 3).alias("step"), F.when(flat, 0.0).otherwise(F.round(F.corr("x", "t50"), 6)).alias("along")).where("n >= 3")
 
 
-@query(recursive("event_type", "value >= 30", "", "t_us AS last, true AS ok", f"CASE WHEN o.t_us - f.last >= {10 * HOUR} THEN o.t_us ELSE f.last END, o.t_us - f.last >= {10 * HOUR}") + " SELECT event_type, t_us FROM f WHERE ok")
+SNAP = f"CASE WHEN {{0}}.k % 3 = 0 THEN {{0}}.t_us + ({{0}}.k - 50) * {MIN} END"
+
+
+@query(recursive("event_type", "value >= 30", "", f"coalesce({SNAP.format('o')}, t_us) AS last, true AS ok", f"CASE WHEN o.t_us - f.last < {10 * HOUR} THEN f.last WHEN {SNAP.format('o')} > f.last THEN {SNAP.format('o')} ELSE o.t_us END, o.t_us - f.last >= {10 * HOUR}") + " SELECT event_type, last AS t_us FROM f WHERE ok")
 def timeline_blocks(spark, d):
-    rows = events(spark, d).where("value >= 30").withColumn("snap", F.lit(None).cast("bigint"))
-    return O.fold(rows, ["event_type"], ["t_us", "event_id"], ["t_us", "snap"], lambda r: O.blocks([(t, None) for t, _ in r], 10 * HOUR), "t_us bigint")
+    rows = events(spark, d).where("value >= 30").withColumn("snap", F.when(F.col("k") % 3 == 0, F.col("t_us") + (F.col("k") - 50) * MIN))
+    return O.fold(rows, ["event_type"], ["t_us", "event_id"], ["t_us", "snap"], lambda r: O.blocks(r, 10 * HOUR), "t_us bigint")
 
 
 @query(recursive("user_id", "true", "", "CASE WHEN event_type = 'view' THEN NULL ELSE t_us END AS ft, CAST(0 AS BIGINT) AS line", f"CASE WHEN o.event_type = 'view' THEN NULL WHEN f.ft IS NULL OR o.t_us - f.ft >= {24 * HOUR} THEN o.t_us ELSE f.ft END, CASE WHEN o.event_type = 'view' OR f.ft IS NULL OR o.t_us - f.ft >= {24 * HOUR} THEN f.line + 1 ELSE f.line END") + " SELECT event_id, line FROM f")

@@ -11,7 +11,7 @@ from ..functions import curves as K
 from ..functions import scalars as C
 from ..operators import view as V
 from .base import EV, HOUR, MIN, events, table
-from .fold_queries import thumbs
+from .fold_queries import NEAR, near_thumbs, thumbs
 from .series_queries import SESSIONS, SPAN, gap_sessions, spans
 
 QUERIES, SQL = {}, {}
@@ -35,10 +35,10 @@ def dhash(spark, d):
     return thumbs(spark, d).select("vec_id", C.dhash(F.col("thumb"), 8).alias("dhash"))
 
 
-@query(f"WITH {HASH} SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST(bit_count(xor(a.dhash, b.dhash)) AS INTEGER) AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.dhash, b.dhash)) <= 4")
+@query(f"WITH {NEAR} SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS bits FROM nh a JOIN nh b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 4")
 def hamming_pairs(spark, d):
-    """Pairs within 4 of 56 bits: two hashes that close agree on one of 5 bands, on which they meet."""
-    h = thumbs(spark, d).select("vec_id", C.dhash(F.col("thumb"), 8).alias("h"))
+    """Pairs of pictures, in fours that are alike, within 4 of 56 bits: two hashes that close agree on one of 5 bands, on which they meet."""
+    h = near_thumbs(spark, d).select("vec_id", C.dhash(F.col("thumb"), 8).alias("h"))
     bands = F.explode(F.array(*(F.struct(F.lit(i).alias("n"), F.call_function("shiftright", F.col("h"), F.lit(11 * i)).bitwiseAND(F.lit(2047 if i < 4 else 4095)).alias("v")) for i in range(5))))
     banded = h.withColumn("band", bands)
     bits = C.hamming(F.col("a.h"), F.col("b.h"))
