@@ -116,19 +116,24 @@ def fit(rows: DataFrame, fit_rows: int = 500, k: int = 4) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([w.astype("<u2").tobytes() for w in where], pa.binary()), pa.array([np.log1p(g[w]).astype("<f4").tobytes() for g, w in zip(held, where)], pa.binary())], names=["lang", "at", "tf"])
 
     got = sorted((lang, bytes(a), bytes(v)) for lang, a, v in rows.where(keep).select("text", "lang").mapInArrow(run, "lang string, at binary, tf binary").collect())
-    x = np.zeros((len(got), DIMS), dtype=np.float32)
-    for i, (_, a, v) in enumerate(got):
-        x[i, np.frombuffer(a, "<u2")] = np.frombuffer(v, "<f4")
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    seen = np.zeros(DIMS, dtype=np.int64)
+    for _, a, _ in got:
+        seen[np.frombuffer(a, "<u2")] += 1
+    idf = np.log((1 + len(got)) / (1 + seen)).astype(np.float32) + 1
     langs = sorted({g[0] for g in got})
-    names = np.array([langs.index(g[0]) for g in got])
-    parts = [clusters(x[names == j], k) for j in range(len(langs))]
+    parts, own = [], []
+    for lang in langs:  # one language's rows are dense at a time
+        rows_of = [(a, v) for name, a, v in got if name == lang]
+        x = np.zeros((len(rows_of), DIMS), dtype=np.float32)
+        for i, (a, v) in enumerate(rows_of):
+            x[i, np.frombuffer(a, "<u2")] = np.frombuffer(v, "<f4")
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        parts.append(clusters(x, k))
+        own.append((x @ parts[-1].T).max(axis=1))
     owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
     centroids = np.concatenate(parts) if parts else np.zeros((0, DIMS), np.float32)
-    own = np.array([(x[i] @ centroids[owner == names[i]].T).max() for i in range(len(x))])
-    limit = 0.5 * float(np.quantile(own, 0.002)) if len(own) else 0.0
+    limit = 0.5 * float(np.quantile(np.concatenate(own), 0.002)) if own else 0.0
     return Model(langs, idf, centroids.astype(np.float32), owner, limit)
 
 
