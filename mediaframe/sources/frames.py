@@ -2,8 +2,8 @@
 
 Formats: Y4M (luma and, for 4:4:4, chroma are kept as they are) and raw ``.rgb``/``.gray`` with ``width``, ``height``
 and ``rate`` options. A partition is a slice of ``slice_frames`` frames of one file, so long clips are read in parallel
-and a task holds one frame at a time; comparisons on ``t_us`` and ``frame_index`` choose slices and frames before any pixel is
-read. ``scale`` halves the picture that many times by area means in the reader.
+and a task holds one frame at a time; comparisons on ``t_us`` and ``frame_index``, and lists of them, choose slices and frames before any pixel is
+read. ``region`` (``x,y,w,h``) crops the picture in the reader, then ``scale`` halves it that many times by area means.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from .files import open_file
 
@@ -67,10 +67,14 @@ class Slice(InputPartition):
 class FramesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.low, self.high, self.first, self.last = options, -(1 << 62), 1 << 62, 0, 1 << 62
+        self.only: dict[str, set[int]] = {}  # listed values of a column
 
     def pushFilters(self, filters):
         for f in filters:
             name = f.attribute[0] if getattr(f, "attribute", None) else None
+            if name in ("t_us", "frame_index") and isinstance(f, In):
+                self.only[name] = self.only.get(name, set(f.value)) & set(f.value)
+                continue
             if name not in ("t_us", "frame_index") or not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
                 yield f
                 continue
@@ -88,23 +92,29 @@ class FramesReader(DataSourceReader):
             clip = probe(path, self.options)
             for a in range(0, clip.frames, step):
                 b = min(a + step, clip.frames)
-                if clip.time(b - 1) >= self.low and clip.time(a) <= self.high and b - 1 >= self.first and a <= self.last:
+                near = clip.time(b - 1) >= self.low and clip.time(a) <= self.high and b - 1 >= self.first and a <= self.last
+                if near and any(self.wanted(clip, i) for i in range(a, b)):
                     out.append(Slice(clip, a, b))
         return out or [Slice(Clip("", 0, 0, 1, 0, 0, 0, 1, 1, 0, False), 0, 0)]
 
+    def wanted(self, clip: Clip, i: int) -> bool:
+        return self.low <= clip.time(i) <= self.high and self.first <= i <= self.last and all((i if name == "frame_index" else clip.time(i)) in values for name, values in self.only.items())
+
     def read(self, partition: Slice):
         c = partition.clip
         if partition.a >= partition.b:
             return
         times = int(self.options.get("scale", 0))
+        x, y, w, h = (int(v) for v in self.options["region"].split(",")) if "region" in self.options else (0, 0, c.width, c.height)
         with open_file(c.path) as f:
             for i in range(partition.a, partition.b):
-                if not (self.low <= c.time(i) <= self.high and self.first <= i <= self.last):
+                if not self.wanted(c, i):
                     continue
                 f.seek(c.start + i * (c.frame_bytes + c.gap) + c.gap)
                 raw = f.read(c.frame_bytes)
                 flat = np.frombuffer(raw, np.uint8, c.width * c.height * c.channels)
                 image = flat.reshape(c.channels, c.height, c.width).transpose(1, 2, 0) if c.planar else flat.reshape(c.height, c.width, c.channels)
+                image = image[y : y + h, x : x + w]
                 for _ in range(times):
                     image = image[: image.shape[0] // 2 * 2, : image.shape[1] // 2 * 2].reshape(image.shape[0] // 2, 2, image.shape[1] // 2, 2, -1).mean(axis=(1, 3)).round().astype(np.uint8)
                 yield (c.path, i, c.time(i), image.shape[1], image.shape[0], image.shape[2], image.tobytes())
@@ -148,3 +158,19 @@ def images(spark, path: str):
     rows = spark.read.format("image").load(path).select("image.*")
     w = Window.partitionBy(F.regexp_extract("origin", r"^(.*)/[^/]*$", 1)).orderBy("origin")
     return rows.select(F.regexp_extract("origin", r"^(.*)/[^/]*$", 1).alias("video_id"), (F.row_number().over(w) - 1).cast("bigint").alias("frame_index"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), F.col("data").alias("pixels"))
+
+
+def cached(spark, folder: str, wanted, decode, keys: tuple[str, ...] = ("video_id", "frame_index")):
+    """The ``wanted`` frames (``keys``) from a Parquet cache at ``folder``; ``decode`` (wanted rows -> rows with pixels) makes those it lacks, which are appended."""
+    from pyspark.errors import AnalysisException
+
+    on = list(keys)
+    asked = wanted.select(*on).distinct()
+    try:
+        held = spark.read.parquet(folder)
+        missing = asked.join(held.select(*on), on, "left_anti")
+    except AnalysisException:  # nothing was cached yet
+        missing = asked
+    if not missing.isEmpty():
+        decode(missing).dropDuplicates(on).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).dropDuplicates(on).join(asked, on, "left_semi")

@@ -66,3 +66,26 @@ def test_png_is_read_back(spark, tmp_path):
     (tmp_path / "p" / "k1.png").write_bytes(R.png(image))
     r = R.images(spark, str(tmp_path / "p")).first()
     assert np.array_equal(np.frombuffer(r.pixels, np.uint8).reshape(5, 7, 3)[..., ::-1], image)
+
+
+def test_regions_lists_and_the_frame_cache(spark, tmp_path):
+    frames = clip(tmp_path / "c.y4m")
+    R.register(spark)
+    read = lambda: spark.read.format("rawframes").option("path", str(tmp_path / "c.y4m")).option("slice_frames", 4)
+    got = read().option("region", "3,2,8,6").load().where(F.col("frame_index").isin(2, 7, 15)).orderBy("frame_index").collect()
+    assert [r.frame_index for r in got] == [2, 7, 15]
+    assert all((r.w, r.h) == (8, 6) and bytes(r.pixels) == frames[r.frame_index][2:8, 3:11].tobytes() for r in got)
+    asked = []
+
+    def decode(missing):
+        numbers = sorted(r.frame_index for r in missing.collect())
+        asked.append(numbers)
+        return read().load().where(F.col("frame_index").isin(numbers))
+
+    name = str(tmp_path / "c.y4m")
+    want = lambda *n: spark.createDataFrame([(name, i) for i in n], "video_id string, frame_index bigint")
+    folder = str(tmp_path / "cache")
+    assert sorted(r.frame_index for r in R.cached(spark, folder, want(1, 4), decode).collect()) == [1, 4]
+    assert sorted(r.frame_index for r in R.cached(spark, folder, want(4, 6, 6), decode).collect()) == [4, 6]
+    assert R.cached(spark, folder, want(1, 6), decode).count() == 2
+    assert asked == [[1, 4], [6]]
