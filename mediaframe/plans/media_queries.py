@@ -193,10 +193,10 @@ def sentence_times(spark, d):
     return R.sentence_times(truth, answers, USER).select("key", "found")
 
 
-@query(f"WITH {EV}, s AS (SELECT user_id, event_type, (t_us - lag(t_us) OVER (PARTITION BY user_id, event_type ORDER BY t_us)) / 1e6 AS step FROM ev) SELECT user_id, event_type, count(*) AS n, round(median(step), 3) AS period_s FROM s GROUP BY ALL")
+@query(f"WITH {EV}, s AS (SELECT user_id, event_type, t_us - lag(t_us) OVER (PARTITION BY user_id, event_type ORDER BY t_us) AS step FROM ev) SELECT user_id, event_type, count(*) AS n, median(step) AS period FROM s GROUP BY ALL")
 def repeat_steps(spark, d):
-    rows = events(spark, d).select("user_id", "event_type", (F.col("t_us") / 1e6).alias("start_s"))
-    return R.repeats(rows, ["user_id", "event_type"]).withColumn("period_s", F.round("period_s", 3))
+    rows = events(spark, d).select("user_id", "event_type", F.col("t_us").alias("start_s"))
+    return R.repeats(rows, ["user_id", "event_type"]).withColumnRenamed("period_s", "period")
 
 
 @query(f"WITH {EV} SELECT user_id, round(greatest(0.0, sum(k / 100.0) - max(k % 4)) / count(*), 6) AS score FROM ev GROUP BY user_id")
