@@ -10,7 +10,7 @@ in about 30, while 64 bits over five-word shingles differ in about 10, too wide
 with probability p is proposed with probability 1 - (1 - P(Binomial(64, p) <= bits))^WORDS.
 
 A group is cut by set size into steps of 1 / ``least``, as sets farther apart cannot be similar enough: each node meets its own step
-and the next. Steps of over ``block`` nodes are compared block against block, so no task holds more than two blocks.
+and the next. Steps of over ``block`` nodes are taken block against block, so no task holds more than two blocks.
 
 Edge cases: a text of fewer words than a shingle is one shingle; wordless and null texts have the empty set, equal to other empty ones;
 null ids take part, but a component of null ids alone has a null id; an empty table gives an empty result.
@@ -75,29 +75,46 @@ def wide_fingerprint(words: np.ndarray) -> np.ndarray:
     return np.packbits(total * 2 > weight.sum(dtype=np.float64)).view("<u8").astype(U64)
 
 
-def links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Spanning links of all pairs of ``sets`` with Jaccard similarity ``least`` or more."""
-    joined, out, groups = Sets(len(sets)), [], []
-    for a, own in enumerate(sets):
-        hit = []
-        for k, members in enumerate(groups):
-            for b in members:
-                other = sets[b]
-                if min(len(own), len(other)) < least * max(len(own), len(other)):
-                    continue
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both >= least * (len(own) + len(other) - both) - 1e-9:
-                    hit.append(k)
-                    if joined.join(a, b):
-                        out.append((a, b))
-                    break
-        if hit:  # the groups that the new one ties together become one
-            first = groups[hit[0]]
-            first.append(a)
-            for k in reversed(hit[1:]):
-                first += groups.pop(k)
+def links(sets: list[np.ndarray], least: float, recent: int = 8) -> list[tuple[int, int]]:
+    """Spanning links of all pairs of ``sets`` with Jaccard similarity ``least`` or more.
+
+    First each set is compared with one member of the ``recent`` last groups, which ties most near copies. What then lies outside the largest group is
+    counted against all sets through an inverted index of their shingles, so texts that share much but not enough cost no pairwise comparisons.
+    """
+    n, joined, out = len(sets), Sets(len(sets)), []
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+
+    def similar(both, a, b):
+        return both >= least * (size[a] + size[b] - both) - 1e-9
+
+    heads: list[int] = []
+    for a in range(n):
+        hit = None
+        for b in heads[-recent:]:
+            if similar(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), a, b):
+                hit = b
+                if joined.join(a, b):
+                    out.append((a, b))
+        if hit is None:
+            heads.append(a)
         else:
-            groups.append([a])
+            heads.remove(hit)
+            heads.append(hit)
+    roots = np.array([joined.find(a) for a in range(n)])
+    if n < 2 or (roots == roots[0]).all():
+        return out
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(at, kind="stable")
+    holders, first = owner[order], np.searchsorted(at[order], np.arange(len(values) + 1))
+    ends = np.cumsum(size)
+    largest = np.argmax(np.bincount(roots))
+    for a in np.flatnonzero(roots != largest).tolist():
+        own = at[ends[a] - size[a] : ends[a]]
+        both = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in own.tolist()]), minlength=n) if len(own) else np.zeros(n, np.int64)
+        for b in np.flatnonzero(similar(both, a, np.arange(n)) & (both > 0)).tolist():
+            if joined.join(a, b):
+                out.append((a, b))
     return out
 
 
