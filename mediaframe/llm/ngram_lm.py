@@ -45,11 +45,10 @@ PLACE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256 * PLACES
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts in order (0: an end), and each text's number of tokens."""
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes (never 0) of the words of a buffer that ends with white space."""
     from xxhash import xxh64_intdigest
 
-    raw = b"\n".join(raws).lower() + b"\n"
     buffer = np.frombuffer(raw, dtype=np.uint8)
     space = SPACE[buffer]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
@@ -61,7 +60,12 @@ def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = np.add.reduceat(PLACE_VALUES[(np.minimum(place, PLACES - 1) << 8) + inside], first) if len(first) else np.zeros(0, U64)
     for k in np.flatnonzero(sizes > PLACES).tolist():
         h[k] = xxh64_intdigest(raw[starts[k] : ends[k]], 42)
-    h = np.maximum(h, U64(1))
+    return starts, ends, np.maximum(h, U64(1))
+
+
+def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts in order (0: an end), and each text's number of tokens."""
+    starts, _, h = hashed_words(b"\n".join(raws).lower() + b"\n")
     text_ends = np.cumsum([len(r) + 1 for r in raws])
     text = np.searchsorted(text_ends, starts, "right")
     out = np.zeros(len(h) + len(raws), dtype=U64)
