@@ -37,6 +37,11 @@ def channel_kind(travel: Column, scale: Column, edge: Column, turn: Column, corn
     return F.when(F.size(moved) > 0, moved).when(colour_rest < 0.25, F.array(F.lit("colour"))).otherwise(F.array(F.lit("energy")))
 
 
+def share(part: Column, whole: Column) -> Column:
+    """``part`` / ``whole`` of doubles as IEEE 754 divides, a zero whole included: NaN (which ranks above all numbers) of no energy, else infinite. Spark's ``/`` raises an error there."""
+    return F.when(whole == 0, part * float("inf")).otherwise(part / whole)
+
+
 def instant(progress: DataFrame, by: list[str], t: str, p: str, frame_us: Column) -> DataFrame:
     """Groups that go from rest to rest within 2 frames, or from 10 % to 90 % within 1."""
     low, high = (F.max(F.when(F.col(p) <= x, F.col(t))) for x in (0.02, 0.1)), (F.min(F.when(F.col(p) >= x, F.col(t))) for x in (0.98, 0.9))

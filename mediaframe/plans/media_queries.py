@@ -75,7 +75,7 @@ PROGRESS = f"""{FRAMES}, pr AS (SELECT user_id, frame // 8 AS part, t_us, sum(en
 def progress_of(spark, d):
     rows = frames_of(spark, d).withColumn("part", F.floor(F.col("frame") / 8))
     w = Window.partitionBy("user_id", "part")
-    return rows.select("user_id", "part", "t_us", (F.sum("energy").over(w.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("energy").over(w)).alias("p"))
+    return rows.select("user_id", "part", "t_us", M.share(F.sum("energy").over(w.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)), F.sum("energy").over(w)).alias("p"))
 
 
 @query(f"""WITH {EV}, {PROGRESS}, g AS (SELECT user_id, part, max(t_us) FILTER (p <= 0.02) AS l0, max(t_us) FILTER (p <= 0.1) AS l1, min(t_us) FILTER (p >= 0.98) AS h0, min(t_us) FILTER (p >= 0.9) AS h1 FROM pr GROUP BY ALL)
