@@ -27,3 +27,7 @@ def same_as_sql(spark, tables, name):
 
 def test_instant_changes(spark, tables):
     assert {(1, 0), (2, 0), (2, 1), (3, 0), (4, 0)} == {r[:2] for r in same_as_sql(spark, tables, "instant_changes")}
+
+
+def test_progress_picks(spark, tables):
+    assert (1, 0) in {r[:2] for r in same_as_sql(spark, tables, "progress_picks")}
