@@ -69,6 +69,18 @@ def publish(uri: str, data: bytes) -> None:
     fs.move(tmp, path)
 
 
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is, or by its hash may be, among those of ``wanted`` (null among nulls), so that a join with ``wanted`` shuffles little else.
+
+    A bitmap of ``bits`` (2 MB) goes to the executors, whatever the number of keys; the more keys, the more rows pass that the exact join then drops.
+    """
+    size = F.lit(bits)
+    held = wanted.select(F.pmod(F.xxhash64(key), size).alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    rows = df.withColumn("_h", F.pmod(F.xxhash64(key), size)).withColumns({"_bucket": F.bitmap_bucket_number("_h"), "_at": F.bitmap_bit_position("_h")})
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(held), "_bucket").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*df.columns)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns ``doc_id`` and ``text`` alone (null text: empty); whatever else the table has cannot clash."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

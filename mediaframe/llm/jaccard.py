@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import maybe_in, remove, slices, stored, written
 from .ngram_lm import tokens
 from .simhash import SEED, Sets, classes_of, components, near_links
 
@@ -131,7 +131,9 @@ def candidate_groups(distinct: DataFrame, bits: int, wide_bits: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, k, np.int32)), some.column(0), pa.array(words[:, k].copy().view(np.int64)), some.column(1)], names=["part", "id", "fp", "wide"])
 
     points = by_wide.select("id", "wide").mapInArrow(parts, "part int, id long, fp long, wide binary")
-    near = near_links(written(points, "wide-points"), bits, shards=8, words=WORDS, wide_bits=wide_bits)
+    dealt, path = stored(points, "wide-points")
+    near = written(near_links(dealt, bits, shards=8, words=WORDS, wide_bits=wide_bits), "wide-near")
+    remove(path)
     same = distinct.join(by_wide.where("n > 1").select("wide", "id"), "wide").select(F.col("node").alias("a"), F.col("id").alias("b")).where("a <> b")
     roots = written(components(written(near.unionByName(same), "wide-links")), "wide-groups")
     return roots.select("node", F.col("root").alias("group")).union(roots.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct())
@@ -171,8 +173,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits:
     members = placed.join(sizes, ["group", "step"]).select("node", "rep", "group", "step", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
     members = members.select("node", "rep", "group", "step", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    some = docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id), "left_semi").select("text").mapInArrow(nodes, "node long, own binary")
-    held = written(some.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("own").alias("own")), "shingle-sets")
+    likely = maybe_in(docs, "doc_id", reps)
+    some = likely.join(reps, likely.doc_id.eqNullSafe(reps.doc_id), "left_semi").select("text").mapInArrow(nodes, "node long, own binary")
+    held = some.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("own").alias("own"))
     found = members.drop("rep").join(held, "node").groupBy("group", "step", "i", "j").applyInArrow(compare, "a long, b long")
     classes = classes_of(distinct, "node", components(written(found, "shingle-links")))
     return marks.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

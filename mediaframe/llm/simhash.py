@@ -228,10 +228,11 @@ def near_links(points: DataFrame, bits: int = 4, shards: int = 32, shard_points:
     """
     sizes = {r.part: r["count"] for r in points.groupBy("part").count().collect()}
     most = max(sizes.values(), default=0)
-    chosen = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(most, 1)))).select("part", "fp").collect()
+    chosen = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(most, 1)))).select("part", "fp").toArrow()  # arrays: a row of Python objects each would fill the driver
+    of, drawn = chosen.column("part").to_numpy(), chosen.column("fp").to_numpy().astype(np.int64)
     tops, offset = {}, {}
     for k in sorted(sizes):
-        own = np.sort(np.array([r.fp for r in chosen if r.part == k], dtype=np.int64)).view(np.uint64)
+        own = np.sort(drawn[of == k]).view(np.uint64)
         tops[k] = Tree(own, max(1, len(own) // max(shards, -(-sizes[k] // shard_points))))
         offset[k] = sum(len(tops[x].leaves) for x in offset)
     total = sum(len(t.leaves) for t in tops.values())
