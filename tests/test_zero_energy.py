@@ -31,3 +31,19 @@ def test_instant_changes(spark, tables):
 
 def test_progress_picks(spark, tables):
     assert (1, 0) in {r[:2] for r in same_as_sql(spark, tables, "progress_picks")}
+
+
+@pytest.fixture()
+def copies(tmp_path):
+    """Events of two users, each 13 times a microsecond apart as in larger tables, so that one event without energy fills a part; the second user's also lack a value, are NaN or infinite."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE one AS SELECT * FROM (VALUES (1, 0, 5.0), (1, 1, 0.0), (1, 2, 7.0), (2, 0, 0.0), (2, 1, NULL), (2, 2, 'nan'::DOUBLE), (2, 3, 3.0), (2, 4, 'inf'::DOUBLE)) t(u, i, v)")
+    con.execute("CREATE TABLE events AS SELECT (u * 10 + i) * 13 + c AS event_id, TIMESTAMP '2024-01-01' + i * INTERVAL 5 HOUR + c * INTERVAL 1 MICROSECOND AS ts, u::BIGINT AS user_id, 'click' AS event_type, v::DOUBLE AS value, '{\"k\": 3}' AS props FROM one, range(13) t(c)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    return con, str(tmp_path)
+
+
+def test_progress_picks_of_copies(spark, copies):
+    got = same_as_sql(spark, copies, "progress_picks")
+    assert len([r for r in got if r[:2] == (1, 2)]) == 1  # all goals at its first frame
+    assert {r[0] for r in got} == {1, 2}
